@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import packing, tokens
+from siltstone.llm import packing, pages, tokens
 from siltstone.session import table
 from siltstone.shared import materialize
 
@@ -37,6 +37,12 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     return both.select("container", "n_bins", "n_items", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("n_bins") * F.col("capacity")), 5).alias("filled"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_packed, p7_summary)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id of the pages made of keywords, links or tags."""
+    documents = table(spark, d, "documents")
+    return pages.find_stuffed(documents, pages.train(documents, table(spark, d, "pagelabels"))).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_packed, p7_summary, p8_found)}
 
 ORACLE: dict[str, str] = {}
