@@ -12,6 +12,9 @@ import duckdb
 TESTDATA = Path("/root/testdata")
 
 
+KINDS = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp_ntz", "DATE": "date", "DECIMAL": "decimal", "SMALLINT": "smallint", "TINYINT": "tinyint", "FLOAT": "float", "BLOB": "binary"}
+
+
 def connect(folder: Path) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("set TimeZone = 'UTC'")
@@ -51,6 +54,10 @@ def compare(spark, con, query, sql: str, folder: str) -> str:
     theirs = cur.fetchall()
     if sorted(names) != sorted(my_names):
         return f"columns {sorted(my_names)} against {sorted(names)}"
+    kinds = {n: KINDS.get(str(c[1]).split("(")[0], str(c[1])) for n, c in zip(names, cur.description)}
+    unlike = [(f.name, f.dataType.simpleString(), kinds[f.name]) for f in df.schema if f.dataType.simpleString().split("(")[0] != kinds[f.name].lower() and kinds[f.name] != "list"]
+    if unlike:
+        print(f"  types: {unlike}")
     a, b = rows_of(my_names, mine), rows_of(names, theirs)
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
