@@ -6,6 +6,8 @@ day-time intervals.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,16 +23,13 @@ SPECIFIERS = {
 
 def pattern(spec: str) -> str:
     """A DATE_FORMAT string as Spark's pattern; other letters are quoted."""
-    out, at = "", 0
-    while at < len(spec):
-        c = spec[at]
-        if c == "%" and at + 1 < len(spec):
-            at += 1
-            c = spec[at]
-            out += SPECIFIERS.get(c, c if not c.isalpha() else f"'{c}'")
+    out = ""
+    for known, other in re.findall(r"%(.)|([^%]+)", spec):
+        if other:
+            quoted = other.replace("'", "''")
+            out += f"'{quoted}'" if any(ch.isalpha() for ch in other) else quoted
         else:
-            out += f"'{c}'" if c.isalpha() else c.replace("'", "''")
-        at += 1
+            out += SPECIFIERS.get(known, f"'{known}'" if known.isalpha() else known)
     return out
 
 

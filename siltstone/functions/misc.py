@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 NUMBER = r"\s*(-?\d+(?:\.\d+)?)\s+(-?\d+(?:\.\d+)?)\s*"
 
@@ -35,7 +36,7 @@ def _box(wkt: str | None) -> tuple[float, float, float, float] | None:
     return min(xs), min(ys), max(xs), max(ys)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def intersects(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether the bounding boxes meet, as the reference's MBR predicates; null for what has no coordinates."""
 

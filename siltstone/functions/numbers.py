@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def modulo(a: Column, b: Column) -> Column:
 
 def unsigned(c: Column) -> Column:
     """A 64-bit pattern read without sign."""
-    return F.when(c < 0, c.cast(UNSIGNED) + F.lit(TWO_64).cast("decimal(21,0)")).otherwise(c.cast("decimal(21,0)")).cast(UNSIGNED)
+    return F.when(c < 0, c.cast(UNSIGNED) + F.lit(Decimal(TWO_64)).cast("decimal(21,0)")).otherwise(c.cast("decimal(21,0)")).cast(UNSIGNED)
 
 
 def shift_left(c: Column, n: Column) -> Column:

@@ -8,6 +8,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 
 def byte_length(s: Column) -> Column:
@@ -113,13 +114,13 @@ def convert_charset(s: Column, charset: str) -> Column:
     return through(s)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def compress(texts: pd.Series) -> pd.Series:
     """COMPRESS: length in four bytes, the least first, then a zlib stream; of the empty text nothing."""
     return texts.map(lambda t: None if t is None else b"" if t == "" else (len(b := t.encode()) & 0x3FFFFFFF).to_bytes(4, "little") + zlib.compress(b))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def uncompress(data: pd.Series) -> pd.Series:
     """UNCOMPRESS; null for what isn't compressed."""
 
