@@ -33,20 +33,22 @@ def load(spark: SparkSession, path: str, schema: T.StructType, fmt: TextFormat =
     tasks unless lines are to be skipped, whose places only its beginning tells.
     """
     ready = T.StructType([*schema.fields, T.StructField("_error", T.StringType())])
-    options = {"sep": fmt.delimiter, "quote": fmt.enclosure, "escape": fmt.escape, "nullValue": fmt.null, "columnNameOfCorruptRecord": "_error", "mode": "PERMISSIVE", "encoding": fmt.charset, "emptyValue": ""}
+    options = {"sep": fmt.delimiter, "quote": fmt.enclosure, "escape": fmt.escape, "nullValue": fmt.null, "columnNameOfCorruptRecord": "_error", "mode": "PERMISSIVE", "columnPruning": "false", "encoding": fmt.charset, "emptyValue": ""}
     if fmt.skip == 0 and not fmt.starter and fmt.line in ("\n", "\r\n"):
         return spark.read.schema(ready).options(**options).csv(path)
     whole = fmt.skip > 0
-    reader = spark.read.option("lineSep", fmt.line) if fmt.line != "\r\n" else spark.read
     if whole:
-        lines = reader.option("wholetext", True).text(path).select(F.posexplode(F.split("value", _literal(fmt.line))).alias("n", "value")).where((F.col("n") >= fmt.skip) & (F.col("value") != "")).select("value")
+        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", _literal(fmt.line))).alias("n", "value")).where((F.col("n") >= fmt.skip) & (F.col("value") != "")).select("value")
     else:
-        lines = reader.text(path).where("value <> ''")
+        lines = spark.read.text(path, lineSep=None if fmt.line == "\r\n" else fmt.line).where("value <> ''")
     value = F.regexp_replace("value", "^﻿", "")
+    fits = F.lit(True)
     if fmt.starter:
-        value = F.when(value.startswith(fmt.starter), value.substr(F.lit(len(fmt.starter) + 1), F.char_length(value))).otherwise(value)
-    parsed = F.from_csv(value, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready), {k: v for k, v in options.items() if k != "encoding"})
-    return lines.select(parsed.alias("r")).select("r.*")
+        fits = value.startswith(fmt.starter)
+        value = value.substr(F.lit(len(fmt.starter) + 1), F.char_length(value))
+    parsed = F.from_csv(value, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready), {k: v for k, v in options.items() if k not in ("encoding", "columnPruning")})
+    rows = lines.select(parsed.alias("r"), fits.alias("fits"), F.col("value"))
+    return rows.select(*(F.when(F.col("fits"), F.col(f"r.{f.name}")).alias(f.name) for f in schema), F.when(F.col("fits"), F.col("r._error")).otherwise(F.col("value")).alias("_error"))
 
 
 def _literal(text: str) -> str:
@@ -98,12 +100,12 @@ def read_binary(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     import struct
 
     kinds = [f.dataType.simpleString() for f in schema]
-    form = struct.Struct("<" + "?" * len(kinds) + "".join(BINARY[k][0] for k in kinds))
+    form = "<" + "?" * len(kinds) + "".join(BINARY[k][0] for k in kinds)
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = len(kinds)
         for frame in frames:
-            rows = [[None if r[i] else r[n + i] for i in range(n)] for text in frame["value"] for r in form.iter_unpack(bytes.fromhex(text))]
+            rows = [[None if r[i] else r[n + i] for i in range(n)] for text in frame["value"] for r in struct.iter_unpack(form, bytes.fromhex(text))]
             if rows:
                 yield pd.DataFrame(rows, columns=schema.names, dtype=object)
 
