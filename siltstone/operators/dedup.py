@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.manifest import Manifest
+from siltstone.shared import unused
 
 #: Identifiers of one prefix that a task holds in memory at a time (24 bytes each).
 PER_PREFIX = 1_000_000
@@ -158,7 +159,8 @@ def split_copies(messages: DataFrame, index: IdentifierIndex, ident: str, row: s
             upto = F.col("__b") <= high
             part = part.where(upto if low is not None else upto | F.col("__b").isNull())
         index.ingest(part.select("id", "stamp", "row"), f"{low}..{high}")
-    held = index.kept().select(F.col("row").alias("__row"))
-    dropped = known.join(held, F.col(row) == F.col("__row"), "left_anti")
-    kept = known.join(held, F.col(row) == F.col("__row"), "left_semi").unionByName(messages.where(F.col(ident).isNull()))
+    own = unused("held_row", messages)
+    held = index.kept().select(F.col("row").alias(own))
+    dropped = known.join(held, F.col(row) == F.col(own), "left_anti")
+    kept = known.join(held, F.col(row) == F.col(own), "left_semi").unionByName(messages.where(F.col(ident).isNull()))
     return kept, dropped

@@ -63,31 +63,29 @@ def deliveries(pairs: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def unread_objects(pairs: DataFrame, meta: DataFrame, lists: DataFrame, runs: DataFrame) -> DataFrame:
+def unread_objects(pairs: DataFrame, meta: DataFrame, lists: DataFrame, runs: DataFrame, watermark: int | None = None, limit: int | None = None) -> DataFrame:
     """(obj_id, version) of the objects with deliveries none of which, among those of the newest version, was read.
 
-    The upper limit is what the given tables hold when the query starts. One aggregation per
-    object, combined before the shuffle: the greatest (version, read) tells whether any delivery
-    of the newest version was read; nulls are the oldest version. Empty tables give no rows;
-    an empty run log gives every delivered object. Other columns are ignored.
+    Lists received after ``limit`` don't count yet; what was received up to ``watermark`` counts as
+    read (both in microseconds; a list with no received_at is within either). One aggregation per
+    object, combined before the shuffle: the greatest (version, read) tells whether any delivery of
+    the newest version was read; nulls are the oldest version. Empty tables give no rows; an
+    empty run log gives every delivered object. Other columns are ignored.
     """
-    within = F.expr("exists(ranges, r -> obj_id between r.lo and r.hi)")
-    read = F.coalesce(within, F.lit(False))
-    found = deliveries(pairs, meta).join(ranges_read(lists, runs), "list_id").withColumn("read", read)
+    ranges = ranges_read(lists, runs)
+    if limit is not None:
+        ranges = ranges.where(F.coalesce(F.col("received_us") <= F.lit(limit), F.lit(True)))
+    read = F.coalesce(F.expr("exists(ranges, r -> obj_id between r.lo and r.hi)"), F.lit(False))
+    if watermark is not None:
+        read = read | F.coalesce(F.col("received_us") <= F.lit(watermark), F.lit(True))
+    found = deliveries(pairs, meta).join(ranges, "list_id").withColumn("read", read)
     newest = found.groupBy("obj_id").agg(F.max(F.struct("version", "read")).alias("newest"))
     return newest.where("not newest.read").select("obj_id", "newest.version")
 
 
-def next_window(pairs: DataFrame, meta: DataFrame, lists: DataFrame, runs: DataFrame) -> DataFrame:
-    """One row: the window of the next run — from_obj_id, upto_obj_id, cut_at_us and the number of objects it takes.
-
-    cut_at_us, the greatest commit position of a complete list, is fixed here, before any data
-    is read, so what arrives meanwhile waits for the run after it. With nothing to do the ids are null.
-    """
-    todo = unread_objects(pairs, meta, lists, runs)
-    cut = lists.where("done").agg(F.max(epoch_micros(lists, "received_at")).alias("cut_at_us"))
-    span = todo.agg(F.min("obj_id").alias("from_obj_id"), F.max("obj_id").alias("upto_obj_id"), F.count("obj_id").alias("n_objects"))
-    return span.join(cut, F.lit(True))  # one row by one row
+def last_received(lists: DataFrame) -> int | None:
+    """The greatest commit position of a complete list, in microseconds."""
+    return lists.where("done").agg(F.max(epoch_micros(lists, "received_at"))).first()[0]
 
 
 class CommitLog:
@@ -107,24 +105,40 @@ class CommitLog:
         """The committed runs in order."""
         return self._manifest.entries()
 
+    def _write(self, rows: DataFrame, done: list[dict], watermark: int | float | str | None) -> dict:
+        path = f"{self.folder}/data/{len(done):012d}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        entry = {"run": len(done), "after": done[-1]["watermark"] if done else None, "watermark": watermark, "path": path}
+        self._manifest.add(len(done), entry)
+        return entry
+
     def run(self, source: DataFrame, sequence: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict | None:
         """Process the rows with watermark < sequence <= limit; None where there are none.
 
         The limit is the greatest sequence at the start. Rows whose sequence is null never qualify.
         """
         done = self.commits()
-        mark = done[-1]["watermark"] if done else None
         fresh = source.where(F.col(sequence).isNotNull())
-        if mark is not None:
-            fresh = fresh.where(F.col(sequence) > F.lit(mark))
+        if done:
+            fresh = fresh.where(F.col(sequence) > F.lit(done[-1]["watermark"]))
         limit = fresh.agg(F.max(sequence)).first()[0]
         if limit is None:
             return None
-        path = f"{self.folder}/data/{len(done):012d}-{uuid.uuid4().hex}"
-        transform(fresh.where(F.col(sequence) <= F.lit(limit))).write.parquet(path)
-        row = {"run": len(done), "after": mark, "watermark": limit, "path": path}
-        self._manifest.add(len(done), row)
-        return row
+        return self._write(transform(fresh.where(F.col(sequence) <= F.lit(limit))), done, limit)
+
+    def take_unread(self, pairs: DataFrame, meta: DataFrame, lists: DataFrame, runs: DataFrame) -> dict:
+        """One run over versioned deliveries: commits (obj_id, version) of all objects unread so far, by ``runs`` and by this log.
+
+        The upper limit is the last complete list when the run starts; with the output it becomes the
+        watermark, up to which all is settled. A run that fails commits neither, and the next takes
+        the same objects; a run with nothing to take commits no rows.
+        """
+        done = self.commits()
+        mark = done[-1]["watermark"] if done else None
+        limit = last_received(lists)
+        if limit is None or (mark is not None and limit < mark):
+            limit = mark
+        return self._write(unread_objects(pairs, meta, lists, runs, mark, limit), done, limit)
 
     def output(self) -> DataFrame | None:
         """All committed output."""

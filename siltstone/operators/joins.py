@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.shared import unused
+
 #: Most rows of a side that is copied to every executor.
 SMALL = 100_000
 
@@ -27,9 +29,10 @@ def mapped(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "i
 def salted(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join ('inner' or 'left') whose keys may be hot in ``facts``: each key is spread over ``salts`` tasks, the lookup repeated as often."""
     rest = [c for c in facts.columns if c not in on] or list(on)
-    left = facts.withColumn("__salt", F.pmod(F.xxhash64(*rest, *on), F.lit(salts)))
-    right = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.join(right, [*on, "__salt"], how).drop("__salt")
+    salt = unused("salt", facts, lookup)
+    left = facts.withColumn(salt, F.pmod(F.xxhash64(*rest, *on), F.lit(salts)))
+    right = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return left.join(right, [*on, salt], how).drop(salt)
 
 
 def not_in(df: DataFrame, c: str, other: DataFrame, value: str) -> DataFrame:
@@ -37,10 +40,11 @@ def not_in(df: DataFrame, c: str, other: DataFrame, value: str) -> DataFrame:
 
     A plain anti-join, so that neither side has to be copied, and one row of counts.
     """
-    values = other.select(F.col(value).alias("__v"))
-    state = values.agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__v").isNull()).alias("__gaps"))
-    kept = df.join(values, F.col(c) == F.col("__v"), "left_anti")
-    return kept.join(F.broadcast(state), (F.col("__n") == 0) | ((F.col("__gaps") == 0) & F.col(c).isNotNull()), "left_semi")
+    v, n, gaps = (unused(x, df) for x in ("v", "n", "gaps"))
+    values = other.select(F.col(value).alias(v))
+    state = values.agg(F.count(F.lit(1)).alias(n), F.count_if(F.col(v).isNull()).alias(gaps))
+    kept = df.join(values, F.col(c) == F.col(v), "left_anti")
+    return kept.join(F.broadcast(state), (F.col(n) == 0) | ((F.col(gaps) == 0) & F.col(c).isNotNull()), "left_semi")
 
 
 def cross(a: DataFrame, b: DataFrame, most: int = 1_000_000) -> DataFrame:
@@ -58,24 +62,26 @@ def count_less(left: DataFrame, x: str, right: DataFrame, y: str, width: float)
     buckets, the rest from ranks within a bucket, so no pairs are made. Null x counts 0.
     """
     bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
-    own = left.withColumn("__x", F.col(x).cast("double"))
-    marks = right.select(F.col(y).cast("double").alias("__x")).where("__x is not null").withColumn("__b", bucket("__x"))
-    sizes = marks.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    wanted = own.select("__x").where("__x is not null").distinct().withColumn("__b", bucket("__x"))
-    # running totals over the buckets of both sides, which are far fewer than rows
-    every = sizes.unionByName(wanted.select("__b", F.lit(0).cast("bigint").alias("__n"))).groupBy("__b").agg(F.sum("__n").alias("__n"))
-    below = every.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__below"))
-    counted = marks.groupBy("__b", "__x").agg(F.count(F.lit(1)).alias("__k")).unionByName(wanted.select("__b", "__x", F.lit(0).cast("bigint").alias("__k"))).groupBy("__b", "__x").agg(F.sum("__k").alias("__k"))
-    inside = counted.withColumn("__in", F.coalesce(F.sum("__k").over(Window.partitionBy("__b").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    found = inside.join(below, "__b").select(F.col("__x").alias("__f"), (F.col("__in") + F.col("__below")).alias("n_less"))
-    return own.join(found, F.col("__x") == F.col("__f"), "left").withColumn("n_less", F.coalesce("n_less", F.lit(0))).drop("__x", "__f")
+    mark = unused("mark", left)
+    own = left.withColumn(mark, F.col(x).cast("double"))
+    below = right.select(F.col(y).cast("double").alias("x")).where("x is not null").withColumn("b", bucket("x"))
+    wanted = own.select(F.col(mark).alias("x")).where("x is not null").distinct().withColumn("b", bucket("x"))
+    # values with their numbers of rows, those asked for with none
+    counted = below.select("b", "x", F.lit(1).cast("bigint").alias("k")).unionByName(wanted.select("b", "x", F.lit(0).cast("bigint").alias("k"))).groupBy("b", "x").agg(F.sum("k").alias("k"))
+    first = F.sum("k").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))  # a row per bucket
+    buckets = counted.groupBy("b").agg(F.sum("k").alias("k")).select("b", F.coalesce(first, F.lit(0)).alias("base"))
+    inside = F.sum("k").over(Window.partitionBy("b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    found = counted.withColumn("inside", F.coalesce(inside, F.lit(0))).join(buckets, "b").select(F.col("x").alias(unused("found", own)), (F.col("inside") + F.col("base")).alias("n_less"))
+    joined = own.join(found, F.col(mark) == F.col(found.columns[0]), "left")
+    return joined.withColumn("n_less", F.coalesce("n_less", F.lit(0))).drop(mark, found.columns[0])
 
 
 def range_join(points: DataFrame, x: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:
     """Pairs with low <= x < high: an equi-join on buckets of ``width``, as wide as ranges usually are."""
     bucket = lambda c: F.floor(c / F.lit(width)).cast("bigint")
-    spread = ranges.where(F.col(low) < F.col(high)).withColumn("__b", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
-    return points.withColumn("__b", bucket(F.col(x))).join(spread, "__b").where((F.col(low) <= F.col(x)) & (F.col(x) < F.col(high))).drop("__b")
+    b = unused("bucket", points, ranges)
+    spread = ranges.where(F.col(low) < F.col(high)).withColumn(b, F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
+    return points.withColumn(b, bucket(F.col(x))).join(spread, b).where((F.col(low) <= F.col(x)) & (F.col(x) < F.col(high))).drop(b)
 
 
 def anti_by_null(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.shared import unused
+
 
 def xor(a: Column, b: Column) -> Column:
     """Null if either is."""
@@ -41,22 +43,26 @@ def compare_any(df: DataFrame, c: str, op: str, other: DataFrame, value: str) ->
     """
     if op == "=":
         return df.join(other.select(F.col(value).alias("__v")), F.col(c) == F.col("__v"), "left_semi")
-    b = _bounds(other, value)
-    tests = {"<": F.col(c) < F.col("__hi"), "<=": F.col(c) <= F.col("__hi"), ">": F.col(c) > F.col("__lo"), ">=": F.col(c) >= F.col("__lo"), "<>": (F.col(c) != F.col("__lo")) | (F.col(c) != F.col("__hi"))}
-    return df.join(F.broadcast(b), tests[op], "left_semi")
+    b = _bounds(df, other, value)
+    x, low, high = F.col(c), b["low"], b["high"]
+    tests = {"<": x < high, "<=": x <= high, ">": x > low, ">=": x >= low, "<>": (x != low) | (x != high)}
+    return df.join(F.broadcast(b["table"]), tests[op], "left_semi")
 
 
 def compare_all(df: DataFrame, c: str, op: str, other: DataFrame, value: str) -> DataFrame:
     """Rows for which ``c op ALL (other.value)`` is true: all of them if there are no values, none if a value is null."""
-    b = _bounds(other, value)
-    tests = {"<": F.col(c) < F.col("__lo"), "<=": F.col(c) <= F.col("__lo"), ">": F.col(c) > F.col("__hi"), ">=": F.col(c) >= F.col("__hi"), "=": (F.col(c) == F.col("__lo")) & (F.col(c) == F.col("__hi"))}
+    b = _bounds(df, other, value)
+    x, low, high = F.col(c), b["low"], b["high"]
+    tests = {"<": x < low, "<=": x <= low, ">": x > high, ">=": x >= high, "=": (x == low) & (x == high)}
     if op == "<>":
         from siltstone.operators.joins import not_in
 
         return not_in(df, c, other, value)
-    return df.join(F.broadcast(b), (F.col("__n") == 0) | ((F.col("__gaps") == 0) & tests[op]), "left_semi")
+    return df.join(F.broadcast(b["table"]), (b["n"] == 0) | ((b["gaps"] == 0) & tests[op]), "left_semi")
 
 
-def _bounds(other: DataFrame, value: str) -> DataFrame:
-    """One row: least, greatest, number of values and of nulls."""
-    return other.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(F.lit(1)).alias("__n"), F.count_if(F.col(value).isNull()).alias("__gaps"))
+def _bounds(df: DataFrame, other: DataFrame, value: str) -> dict:
+    """A table of one row and its columns: least and greatest value, number of values and of nulls."""
+    name = unused("bounds", df)
+    parts = F.struct(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(value).isNull()).alias("gaps"))
+    return {"table": other.agg(parts.alias(name))} | {p: F.col(f"{name}.{p}") for p in ("low", "high", "n", "gaps")}

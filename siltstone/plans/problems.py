@@ -9,7 +9,7 @@ from siltstone.functions.instants import epoch_seconds
 from siltstone.operators.changefeed import apply_changes
 from siltstone.operators.dedup import IdentifierIndex, split_copies
 from siltstone.operators.diff import difference_fields, differences
-from siltstone.operators.incremental import next_window, unread_objects
+from siltstone.operators.incremental import CommitLog, last_received, unread_objects
 from siltstone.operators.quality import attribute_profiles, check_packs
 from siltstone.session import table
 from siltstone.shared import scratch
@@ -24,13 +24,18 @@ def _pair_tables(spark: SparkSession, d: str) -> list[DataFrame]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """obj_id of every object whose newest state no successful run has read."""
-    return unread_objects(*_pair_tables(spark, d)).select("obj_id")
+    """obj_id of every object whose newest state no successful run has read: the output that a first run commits."""
+    log = CommitLog(spark, scratch(spark, "commits"))
+    log.take_unread(*_pair_tables(spark, d))
+    return log.output().select("obj_id")
 
 
 def p1_window(spark: SparkSession, d: str) -> DataFrame:
     """The id range, number of objects and upper limit of the next run."""
-    return next_window(*_pair_tables(spark, d)).select("from_obj_id", "upto_obj_id", "n_objects", "cut_at_us")
+    tables = _pair_tables(spark, d)
+    cut = last_received(tables[2])
+    todo = unread_objects(*tables, limit=cut)
+    return todo.agg(F.min("obj_id").alias("from_obj_id"), F.max("obj_id").alias("upto_obj_id"), F.count("obj_id").alias("n_objects"), F.lit(cut).cast("bigint").alias("cut_at_us"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -30,6 +30,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/siltstone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name like ``name`` that none of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table."""
     spark = df.sparkSession
