@@ -81,7 +81,7 @@ class IdentifierIndex:
 
     def _state(self) -> dict:
         entries = self._manifest.entries()
-        return entries[-1] if entries else {"n": -1, "bits": None, "runs": [], "batches": []}
+        return entries[-1] if entries else {"n": -1, "bits": None, "kind": None, "runs": [], "batches": []}
 
     @staticmethod
     def _prefix(bits: int) -> Column:
@@ -102,38 +102,39 @@ class IdentifierIndex:
         stamp = F.when(F.isnan("stamp") | F.col("stamp").isNull(), F.lit(float("inf"))).otherwise(F.col("stamp"))
         first = batch.select("id", F.struct(stamp.alias("stamp"), "row").alias("copy")).groupBy("id").agg(F.min("copy").alias("copy"))
         first = first.select(self._prefix(bits).alias("prefix"), "id", "copy.stamp", "copy.row")
+        kind = first.schema["id"].dataType.simpleString()
         if state["runs"]:
-            kind = first.schema["id"].dataType.simpleString()
             shape = f"prefix int, id {kind}, stamp double, row bigint, held_stamp double, held_row bigint"
             seen = first.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_probe(state["runs"]), shape)
             first = seen.where("held_row is null or stamp < held_stamp or (stamp = held_stamp and row < held_row)").drop("held_stamp", "held_row")
         runs = [*state["runs"], self._write(first, bits)]
-        self._manifest.add(state["n"] + 1, {"n": state["n"] + 1, "bits": bits, "runs": runs, "batches": [*state["batches"], name]})
+        self._manifest.add(state["n"] + 1, {"n": state["n"] + 1, "bits": bits, "kind": kind, "runs": runs, "batches": [*state["batches"], name]})
         if len(runs) >= self.merge_at:
             self.merge()
 
-    def _entries(self, runs: list[str]) -> DataFrame:
-        parts = [self.spark.read.parquet(r) for r in runs]
+    def _entries(self, runs: list[str], kind: str) -> DataFrame:
+        parts = [self.spark.read.schema(f"id {kind}, stamp double, row bigint, prefix int").parquet(r) for r in runs]  # a run may be empty
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        return df.select(F.col("prefix").cast("int").alias("prefix"), "id", "stamp", "row")
+        return df.select("prefix", "id", "stamp", "row")
 
     def merge(self) -> None:
         """Merge all runs into one; of an identifier in several the least copy stays."""
         state = self._state()
         if len(state["runs"]) < 2:
             return
-        best = self._entries(state["runs"]).groupBy("prefix", "id").agg(F.min(F.struct("stamp", "row")).alias("copy"))
+        best = self._entries(state["runs"], state["kind"]).groupBy("prefix", "id").agg(F.min(F.struct("stamp", "row")).alias("copy"))
         run = self._write(best.select("prefix", "id", "copy.stamp", "copy.row"), state["bits"])
         self._manifest.add(state["n"] + 1, {**state, "n": state["n"] + 1, "runs": [run]})
 
     def kept(self) -> DataFrame:
         """(id, stamp, row) of the copy kept of each identifier."""
-        runs = self._state()["runs"]
+        state = self._state()
+        runs = state["runs"]
         if not runs:
             return self.spark.createDataFrame([], "id bigint, stamp double, row bigint")
-        entries = self._entries(runs)
+        entries = self._entries(runs, state["kind"])
         if len(runs) == 1:
             return entries.drop("prefix")
         return entries.groupBy("id").agg(F.min(F.struct("stamp", "row")).alias("copy")).select("id", "copy.stamp", "copy.row")

@@ -7,7 +7,7 @@ from the chunks' dictionaries, so a value is looked at once per chunk.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +42,7 @@ def exact_statistics(chunk) -> tuple[int, object, object] | None:
     return (s.null_count, s.min, s.max) if s.min <= s.max else None
 
 
-def _chunks(patterns: Mapping[str, str], distinct: bool):
+def _chunks(patterns: Mapping[str, str], distinct: bool, columns: frozenset[str] | None):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow.compute as pc
@@ -55,7 +55,7 @@ def _chunks(patterns: Mapping[str, str], distinct: bool):
                 system, path = fs.FileSystem.from_uri(uri)
                 with system.open_input_file(path) as handle:
                     footer = pq.ParquetFile(handle)
-                    flat = [f.name for f in footer.schema_arrow if not pa.types.is_nested(f.type)]
+                    flat = [f.name for f in footer.schema_arrow if not pa.types.is_nested(f.type) and (columns is None or f.name in columns)]
                     texts = [f.name for f in footer.schema_arrow if pa.types.is_string(f.type) or pa.types.is_binary(f.type)]
                     file = pq.ParquetFile(handle, metadata=footer.metadata, read_dictionary=texts)
                     place = {footer.metadata.schema.column(i).path: i for i in range(footer.metadata.num_columns)}
@@ -69,7 +69,7 @@ def _chunks(patterns: Mapping[str, str], distinct: bool):
                             bad = None
                             hashes = None
                             if values is not None:
-                                counted = pc.value_counts(values.cast(values.type.value_type) if values.num_chunks > 1 else values) if isinstance(values, pa.ChunkedArray) else pc.value_counts(values)
+                                counted = pc.value_counts(values)
                                 keys, counts = counted.field("values"), counted.field("counts").to_numpy()
                                 if pa.types.is_dictionary(keys.type):
                                     keys = keys.dictionary_decode()
@@ -99,8 +99,8 @@ def _arrow() -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in SHAPE.split(", "))])
 
 
-def chunk_statistics(spark: SparkSession, path: str, patterns: Mapping[str, str] | None = None, distinct: bool = True) -> DataFrame:
-    """A row per row group and flat column of the table at ``path``; a task takes one file at a time.
+def chunk_statistics(spark: SparkSession, path: str, patterns: Mapping[str, str] | None = None, distinct: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
+    """A row per row group and flat column (of ``columns`` if given) of the table at ``path``; a task takes one file at a time.
 
     ``patterns`` gives RE2 patterns of string columns by name: violations counts the values, nulls
     apart, that don't contain a match. from_footer tells whether nulls and extrema needed no scan.
@@ -108,7 +108,7 @@ def chunk_statistics(spark: SparkSession, path: str, patterns: Mapping[str, str]
     """
     files = spark.read.parquet(path).inputFiles()
     listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)))
-    return listed.mapInArrow(_chunks(dict(patterns or {}), distinct), SHAPE)
+    return listed.mapInArrow(_chunks(dict(patterns or {}), distinct, None if columns is None else frozenset(columns)), SHAPE)
 
 
 def profile_columns(spark: SparkSession, path: str, patterns: Mapping[str, str] | None = None) -> DataFrame:
