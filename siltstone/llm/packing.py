@@ -21,8 +21,10 @@ from pyspark.sql.window import Window
 from siltstone.shared import materialize
 
 #: Length classes per capacity; the least fill of a combination, as a share of the capacity; items per combination.
-CLASSES, WINDOW, DEPTH = 128, 0.97, 3
-#: Parts in which the items of one length are ranked.
+CLASSES, WINDOW, DEPTH = 128, 0.99, 3
+#: Share of the solved repeat counts that is used; the rest stays with the best-fit pass, which needs items to choose from.
+SHARE = 0.75
+#: Least number of parts in which the items of one length are ranked.
 PARTS = 64
 #: Most tokens that the capacities of all containers may add up to: the size of what the driver plans with.
 MOST = 4_000_000
@@ -92,38 +94,46 @@ def plan(histogram: dict[int, int], capacity: int, classes: int = CLASSES, windo
         weight = np.sqrt(present / top)  # what stays over of long items costs more
         x = nonnegative_least_squares(a * weight[:, None], count * weight)
         for j in sorted(np.flatnonzero(x >= 0.5), key=lambda j: (-sum(useful[j]), len(useful[j]), useful[j])):
-            need = a[:, j].astype(int)
-            times = int(min(round(x[j]), *(count[i] // need[i] for i in np.flatnonzero(need))))
-            if times <= 0:
-                continue
-            count -= times * need
-            groups += _repeat(useful[j], times, by_class, left)
+            groups += _repeat(useful[j], int(round(x[j] * SHARE)), by_class, left, capacity)
     return _best_fit(groups, left, capacity)
 
 
-def _repeat(combo: tuple[int, ...], times: int, by_class: dict[int, list[int]], left: dict[int, int]) -> list[tuple[int, tuple[int, ...]]]:
-    """``times`` containers of a combination of classes, with exact lengths: of a class the longest come first, every second slot the shortest."""
-    slots = []
-    for k, c in enumerate(combo):
-        want, runs = times, []
-        while want:
-            n = by_class[c][0 if k % 2 == 0 else -1]
-            take = min(want, left[n])
-            runs.append([n, take])
-            left[n] -= take
-            want -= take
+def _repeat(combo: tuple[int, ...], times: int, by_class: dict[int, list[int]], left: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Up to ``times`` containers of a combination of classes, with exact lengths, as far as there are items.
+
+    Of the first class the longest come first, of the next the shortest; the last item, whatever its
+    class, is the longest that fits, so that classes cost no space.
+    """
+    for c in set(combo[:-1]):
+        times = min(times, sum(left[n] for n in by_class[c]) // combo[:-1].count(c))
+    times = min(times, sum(left[n] for n in by_class[combo[-1]])) if len(combo) == 1 else times
+    out = []
+    heads = combo if len(combo) == 1 else combo[:-1]
+    while times > 0:
+        lengths: list[int] = []
+        for k, c in enumerate(heads):
+            own = [n for n in by_class[c] if left[n] > lengths.count(n)]
+            if own:
+                lengths.append(own[0 if k % 2 == 0 else -1])
+        if len(lengths) < len(heads):
+            break
+        if len(combo) > 1:
+            gap = capacity - sum(lengths)
+            rest = [n for n in left if n <= gap and left[n] > lengths.count(n)]
+            if not rest:
+                break
+            lengths.append(max(rest))
+        step = min(times, *(left[n] // lengths.count(n) for n in lengths))
+        out.append((step, tuple(lengths)))
+        times -= step
+        for n in lengths:
+            left[n] -= step
+        for n in set(lengths):
             if not left[n]:
                 del left[n]
-                by_class[c].remove(n)
-        slots.append(runs)
-    out = []
-    while slots[0]:
-        step = min(runs[0][1] for runs in slots)
-        out.append((step, tuple(runs[0][0] for runs in slots)))
-        for runs in slots:
-            runs[0][1] -= step
-            if not runs[0][1]:
-                runs.pop(0)
+                for own in by_class.values():
+                    if n in own:
+                        own.remove(n)
     return out
 
 
@@ -189,8 +199,9 @@ def pack(sized: DataFrame, containers: DataFrame, id_column: str = "doc_id") ->
         kinds = F.expr("cast(array() as array<struct<container: string, capacity: bigint>>)")
     held = sized.where("n_tokens > 0").select(F.col(id_column).alias("doc_id"), "n_tokens").withColumn("c", F.explode(kinds)).select("doc_id", "n_tokens", "c.container", "c.capacity")
     pieces = held.withColumn("start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_tokens") - 1, F.col("capacity"))))
+    parts = max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     items = pieces.select("container", "doc_id", "start", F.least(F.col("capacity"), F.col("n_tokens") - F.col("start")).alias("len")).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int")
+        "part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(parts)).cast("int")
     )
     counts = materialize(items.groupBy("container", "len", "part").agg(F.count(F.lit(1)).alias("n")), "histogram")
     histogram: dict[str, dict[int, int]] = defaultdict(dict)
