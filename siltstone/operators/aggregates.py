@@ -31,8 +31,8 @@ def count_distinct(*columns: str) -> Column:
 
 
 def spread_distinct(df: DataFrame, keys: Sequence[str], c: str) -> DataFrame:
-    """(keys, n): distinct values of c per group in two aggregations, so that the values of one hot group spread over all tasks."""
-    return df.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.lit(1).alias("__1")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    """(keys, n): distinct values of c per group in two aggregations, so that the values of one hot group spread over all tasks; nulls don't count."""
+    return df.select(*keys, c).distinct().groupBy(*keys).agg(F.count(c).alias("n"))
 
 
 def analyse(df: DataFrame) -> DataFrame:

@@ -13,6 +13,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_']+)"), F.lit(1))
 
 
+def _begins(tokens: Column, word: str) -> Column:
+    return F.exists(tokens, lambda t: t.startswith(word))
+
+
 def match_boolean(text: Column, query: str) -> Column:
     """IN BOOLEAN MODE: '+word' must be there, '-word' must not, of plain words one must be if none is required; 'word*' is a beginning.
 
@@ -21,7 +25,7 @@ def match_boolean(text: Column, query: str) -> Column:
     tokens = words(text)
     required, banned, optional = [], [], []
     for sign, word, star in re.findall(r"([+\-<>~]?)([\w']+)(\*?)", query.lower()):
-        has = F.exists(tokens, lambda t, w=word: t.startswith(w)) if star else F.array_contains(tokens, word)
+        has = _begins(tokens, word) if star else F.array_contains(tokens, word)
         {"+": required, "-": banned}.get(sign, optional).append(has)
     test = F.lit(bool(required or optional))
     for r in required:

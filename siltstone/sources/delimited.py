@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,18 +29,19 @@ def load(spark: SparkSession, path: str, schema: T.StructType, fmt: TextFormat =
     """LOAD DATA INFILE: the rows with the columns of ``schema`` and _error, the text of a line that doesn't fit, else null.
 
     A byte order mark and the first ``skip`` lines of each file are left out, as is ``starter`` before
-    a line; a line without it is an error. Files are read in parallel; a file is split between
-    tasks unless lines are to be skipped, whose places only its beginning tells.
+    a line; a line without it is an error. Large files are split between tasks.
     """
     ready = T.StructType([*schema.fields, T.StructField("_error", T.StringType())])
     options = {"sep": fmt.delimiter, "quote": fmt.enclosure, "escape": fmt.escape, "nullValue": fmt.null, "columnNameOfCorruptRecord": "_error", "mode": "PERMISSIVE", "columnPruning": "false", "encoding": fmt.charset, "emptyValue": ""}
-    if fmt.skip == 0 and not fmt.starter and fmt.line in ("\n", "\r\n"):
+    if fmt.charset.upper() not in ("UTF-8", "UTF8"):
+        if fmt.skip or fmt.starter:
+            raise ValueError("skipped lines and line starters need UTF-8")
         return spark.read.schema(ready).options(**options).csv(path)
-    whole = fmt.skip > 0
-    if whole:
-        lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", _literal(fmt.line))).alias("n", "value")).where((F.col("n") >= fmt.skip) & (F.col("value") != "")).select("value")
-    else:
-        lines = spark.read.text(path, lineSep=None if fmt.line == "\r\n" else fmt.line).where("value <> ''")
+    lines = spark.read.text(path, lineSep=None if fmt.line in ("\n", "\r\n") else fmt.line)
+    if fmt.skip:
+        places = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+        lines = places.mapInArrow(_without_first(fmt.skip), "value string")
+    lines = lines.where("value <> ''")
     value = F.regexp_replace("value", "^﻿", "")
     fits = F.lit(True)
     if fmt.starter:
@@ -51,8 +52,19 @@ def load(spark: SparkSession, path: str, schema: T.StructType, fmt: TextFormat =
     return rows.select(*(F.when(F.col("fits"), F.col(f"r.{f.name}")).alias(f.name) for f in schema), F.when(F.col("fits"), F.col("r._error")).otherwise(F.col("value")).alias("_error"))
 
 
-def _literal(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def _without_first(n: int):
+    """Leaves the first n lines out of each file: a task meets a file's lines in order, and those of its beginning in one block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            keep = []
+            for file, block in zip(batch["file"].to_pylist(), batch["block"].to_pylist()):
+                seen[file] = seen.get(file, 0) + 1
+                keep.append(block > 0 or seen[file] > n)
+            yield pa.RecordBatch.from_arrays([batch["value"].filter(pa.array(keep, pa.bool_()))], names=["value"])
+
+    return run
 
 
 def split_errors(loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -78,6 +90,7 @@ def dump_value(df: DataFrame, path: str) -> None:
 
 #: Codes of the binary row format: type letter, struct letter, width.
 BINARY = {"int": ("i", 4), "bigint": ("q", 8), "double": ("d", 8)}
+ARROW = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 
 
 def write_binary(df: DataFrame, path: str) -> None:
@@ -87,12 +100,13 @@ def write_binary(df: DataFrame, path: str) -> None:
     kinds = [f.dataType.simpleString() for f in df.schema]
     form = "<" + "?" * len(kinds) + "".join(BINARY[k][0] for k in kinds)
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [struct.pack(form, *(v is None or v != v for v in r), *(0 if v is None or v != v else int(v) if k != "double" else v for v, k in zip(r, kinds))) for r in frame.itertuples(index=False)]
-            yield pd.DataFrame({"value": [b"".join(rows).hex()]})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            rows = [struct.pack(form, *(v is None for v in r), *(0 if v is None else v for v in r)) for r in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(rows).hex()])], names=["value"])
 
-    df.mapInPandas(pack, "value string").write.mode("overwrite").text(path)
+    df.mapInArrow(pack, "value string").write.mode("overwrite").text(path)
 
 
 def read_binary(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -102,11 +116,13 @@ def read_binary(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
     kinds = [f.dataType.simpleString() for f in schema]
     form = "<" + "?" * len(kinds) + "".join(BINARY[k][0] for k in kinds)
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(kinds)
-        for frame in frames:
-            rows = [[None if r[i] else r[n + i] for i in range(n)] for text in frame["value"] for r in struct.iter_unpack(form, bytes.fromhex(text))]
-            if rows:
-                yield pd.DataFrame(rows, columns=schema.names, dtype=object)
-
-    return spark.read.text(path).mapInPandas(unpack, schema)
+        for batch in batches:
+            for text in batch["value"].to_pylist():
+                rows = list(struct.iter_unpack(form, bytes.fromhex(text)))
+                columns = [pa.array([None if r[i] else r[n + i] for r in rows], ARROW[k]) for i, k in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = schema.names
+    return spark.read.text(path).mapInArrow(unpack, schema)
