@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import threading
-import time
-
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,20 +52,20 @@ def rename_table(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("select true as cancelled")
 def cancel_query(spark: SparkSession, d: str) -> DataFrame:
-    """KILL: a running query is stopped by its tag (O-297)."""
-    tag, failed = "kill_" + scratch(spark, "x").rsplit("-", 1)[1], []
+    """KILL: the jobs of a group are cancelled; the query would end by itself after some seconds (O-297)."""
+    context, failed = spark.sparkContext, []
+    group = "kill_" + scratch(spark, "x").rsplit("-", 1)[1]
 
-    def endless() -> None:
-        spark.addTag(tag)
+    def long() -> None:
+        context.setJobGroup(group, "to be cancelled", interruptOnCancel=True)
         try:
-            discard(spark.range(10**14).selectExpr("sum(id % 7) as s"))
+            discard(spark.range(3 * 10**10).selectExpr("sum(id % 7) as s"))
         except Exception as e:  # noqa: BLE001
             failed.append(e)
 
-    thread = threading.Thread(target=endless)
+    thread = InheritableThread(target=long, session=spark)
     thread.start()
-    deadline = time.time() + 60
-    while thread.is_alive() and time.time() < deadline:
-        spark.interruptTag(tag)
-        thread.join(0.5)
+    while thread.is_alive():
+        context.cancelJobGroup(group)
+        thread.join(0.3)
     return spark.createDataFrame([(bool(failed) and "cancel" in str(failed[0]).lower(),)], "cancelled boolean")
