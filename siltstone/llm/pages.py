@@ -36,7 +36,7 @@ LABELS = ("prose", "link list", "tag list", "menu", "prose")
 FUNCTION_WORDS = {
     "en": "the a an and of that is was were it its but or by which who because when although only how about you we",
     "de": "der die das und ein eine dass in nach von zu ist den weshalb obwohl warum sie noch im",
-    "fr": "le la les de des et un une que qui dans est on en du ce où bien pourquoi depuis l",
+    "fr": "le la les de des et un une que qui dans est on en du ce où à bien pourquoi depuis l",
     "es": "el la los de que y en un una es por se con no lo las aunque desde del cómo",
     "pl": "i w na z że się nie do jest jak dlaczego już choć przez po od roku o",
     "ru": "и в на не что он как это по уже с из у к за от хотя почему году",
@@ -47,7 +47,10 @@ FUNCTION_WORDS = {
 GLUE = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 
 WIDE = "぀-ヿ㐀-鿿가-힯"
-TOKEN = re.compile(rf"\n|https?://\S+|[A-Za-z0-9+/=]{{30,}}|#\w[\w-]*|[{WIDE}]|[A-Z]{{2,}}-?\d+|[^\W\d_{WIDE}]+(?:['’][^\W\d_{WIDE}]+)*|\d[\d.,:]*|[^\w\s]")
+#: Units of amounts, sizes of goods, words that URLs and joined hash tags count for.
+UNITS, SIZES = "ml|kg|mm|cm|g|x|EL", frozenset(("S", "M", "L", "XL", "XXL"))
+URL_WORDS, HASH_WORDS = 3, 2
+TOKEN = re.compile(rf"\n|https?://\S+|[A-Za-z0-9+/=]{{30,}}|#\w[\w-]*|[{WIDE}]|\d[\d.,]*[ ]?(?:{UNITS})\b|[A-Z]{{2,}}-?\d+|[^\W\d_{WIDE}]+(?:['’][^\W\d_{WIDE}]+)*|\d[\d.,:]*|[^\w\s]")
 ENDERS, SEPARATORS = frozenset(".!?。？！؟…"), frozenset("|-–—»«·/,+*;>•~›،、")
 
 BREAK, WORD, URL, HASH, CODE, NUMBER, TIME, ENDER, SEPARATOR, OTHER = range(10)
@@ -62,30 +65,33 @@ def _kind(t: str) -> tuple[int, float, bool, bool, bool]:
     if c == "\n":
         return BREAK, 0, False, False, False
     if t.startswith("http") and "://" in t:
-        return URL, 1, False, False, False
+        return URL, URL_WORDS, False, False, False
     if len(t) >= 30 and t.isascii() and not t.isalpha():  # an unbroken run, no word
         return OTHER, 0, False, False, False
     if c == "#" and len(t) > 1:
-        return HASH, 1, False, False, False
+        return HASH, HASH_WORDS, False, False, False
     if c.isdigit():
         if t[-1] == "." and len(t) <= 4 and t[:-1].isdigit():  # the number of a list's entry
             return SEPARATOR, 0, False, False, False
-        return TIME if ":" in t.rstrip(":") else NUMBER, 1, False, False, False
+        return TIME if ":" in t.rstrip(":") or t[-1].isalpha() else NUMBER, 1, False, False, False
     if c.isalpha():
-        if t[-1].isdigit():
+        if t[-1].isdigit() or t in SIZES:
             return CODE, 1, False, False, False
         low = t.lower()
+        if low not in GLUE and all("\x80" <= ch < "ɐ" or "｡" <= ch <= "ﾟ" for ch in low):  # what a wrong charset leaves
+            return OTHER, 0, False, False, False
         return WORD, 0.5 if "぀" <= c <= "힯" else 1, low in GLUE, c.isupper() and len(t) > 1 and not t.isupper(), t.isupper() and len(t) > 2
     return (ENDER if c in ENDERS else SEPARATOR if c in SEPARATORS else OTHER), 0, False, False, False
 
 
 @dataclass
 class Pieces:
-    """Pieces of several pages: page of each (sorted), words, and a symbol for each feature."""
+    """Pieces of several pages: page of each (sorted), words, a symbol for each feature, and characters that are neither words nor signs of a sentence."""
 
     page: np.ndarray
     words: np.ndarray
     symbols: np.ndarray
+    odd: np.ndarray
 
 
 def _binned(x: np.ndarray, *edges: float) -> np.ndarray:
@@ -97,7 +103,7 @@ def pieces(texts: list[str | None]) -> Pieces:
     found = [TOKEN.findall(t) if t else [] for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     if not sizes.sum():
-        return Pieces(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FEATURES), np.int8))
+        return Pieces(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FEATURES), np.int8), np.zeros(0))
     flat = [t for tokens in found for t in tokens]
     codes, unique = pd.factorize(np.array(flat, object))
     traits = [_kind(t) for t in unique]
@@ -116,7 +122,7 @@ def pieces(texts: list[str | None]) -> Pieces:
     keep = kind != BREAK
     kind, weight, glue, cap, upper, folded, page, line, within = (x[keep] for x in (kind, weight, glue, cap, upper, folded, page, line, within))
     if not len(kind):
-        return Pieces(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FEATURES), np.int8))
+        return Pieces(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FEATURES), np.int8), np.zeros(0))
     first = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (within[1:] != within[:-1])])
     add = lambda x: np.add.reduceat(x.astype(float), first)
     words = add(weight)
@@ -156,8 +162,9 @@ def pieces(texts: list[str | None]) -> Pieces:
         ],
         axis=1,
     )
-    solid = words > 0
-    return Pieces(at_page[solid], words[solid], symbols[solid])
+    odd = add(kind == OTHER)
+    solid = (words > 0) | (odd > 0)
+    return Pieces(at_page[solid], words[solid], symbols[solid], odd[solid])
 
 
 def seeds(symbols: np.ndarray) -> np.ndarray:
@@ -264,9 +271,13 @@ def _emissions(weight: np.ndarray, symbols: np.ndarray, prior: float = 2.0) -> n
 
 
 def listed(states: np.ndarray, p: Pieces, pages: int) -> tuple[np.ndarray, np.ndarray]:
-    """(share, words) per page: of the words outside menus those in link and tag lists."""
+    """(share, words) per page: of the words outside menus those in link and tag lists, and their number.
+
+    Both are 0 for a page with more odd characters than words: it was decoded by a wrong charset and can't be judged.
+    """
     lists = np.bincount(p.page, p.words * ((states == LINK) | (states == TAG)), pages)
     content = np.bincount(p.page, p.words * (states != MENU), pages)
+    lists[np.bincount(p.page, p.odd, pages) > np.bincount(p.page, p.words, pages)] = 0
     return lists / np.maximum(content, 1), lists
 
 
@@ -326,17 +337,18 @@ def sample_pieces(documents: DataFrame) -> tuple[Pieces, list]:
                 p = pieces(texts)
                 edge = np.searchsorted(p.page, np.arange(len(ids) + 1))
                 words = [p.words[a:b].astype("<f8").tobytes() for a, b in zip(edge, edge[1:])]
+                odd = [p.odd[a:b].astype("<f8").tobytes() for a, b in zip(edge, edge[1:])]
                 symbols = [p.symbols[a:b].tobytes() for a, b in zip(edge, edge[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch["i"].type), pa.array(words, pa.binary()), pa.array(symbols, pa.binary())], names=["i", "w", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch["i"].type), *(pa.array(x, pa.binary()) for x in (words, symbols, odd))], names=["i", "w", "s", "o"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.selectExpr("doc_id as i", "text as t").mapInArrow(run, f"i {kind}, w binary, s binary").toPandas().sort_values("i")
+    rows = documents.selectExpr("doc_id as i", "text as t").mapInArrow(run, f"i {kind}, w binary, s binary, o binary").toPandas().sort_values("i")
     words = [np.frombuffer(w, "<f8") for w in rows["w"]]
     symbols = [np.frombuffer(s, np.int8).reshape(-1, FEATURES) for s in rows["s"]]
     if not words:
         return pieces([]), []
     page = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    return Pieces(page, np.concatenate(words), np.concatenate(symbols)), list(rows["i"])
+    return Pieces(page, np.concatenate(words), np.concatenate(symbols), np.concatenate([np.frombuffer(o, "<f8") for o in rows["o"]])), list(rows["i"])
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
