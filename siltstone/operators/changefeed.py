@@ -33,6 +33,7 @@ def apply_changes(
     feed gives the base, or no rows. Columns not named are ignored.
     """
     acts = changes.select(*keys, time.alias("__t"), F.struct(*(c.alias(f"o{i}") for i, c in enumerate(then))).alias("__o"), writes.alias("__w"), *(F.col(c).alias(f"__i_{c}") for c in image), removes.alias("__d")).where("__w or __d")
+    acts = materialize(acts, "feed")  # each slice reads it, whatever the feed is made of
     inner = [i / slices for i in range(1, slices)]
     cuts = sorted(set(acts.approxQuantile("__t", inner, 0.01))) if inner else []
     bounds = [None, *cuts, None]
