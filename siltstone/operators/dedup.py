@@ -128,6 +128,16 @@ class IdentifierIndex:
         run = self._write(best.select("prefix", "id", "copy.stamp", "copy.row"), state["bits"])
         self._manifest.add(state["n"] + 1, {**state, "n": state["n"] + 1, "runs": [run]})
 
+    def vacuum(self) -> None:
+        """Delete the runs that merging has replaced; call it when nothing reads them any more."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/runs")
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        live = {r.rsplit("/", 1)[1] for r in self._state()["runs"]}
+        for status in files.listStatus(folder):
+            if status.getPath().getName() not in live:
+                files.delete(status.getPath(), True)
+
     def kept(self) -> DataFrame:
         """(id, stamp, row) of the copy kept of each identifier."""
         state = self._state()

@@ -17,21 +17,24 @@ from pyspark.sql import functions as F
 from siltstone.functions.instants import epoch_micros
 from siltstone.manifest import Manifest
 
+#: Most buckets of time that a run may be spread over.
+BUCKETS = 65536
+
 
 def ranges_read(lists: DataFrame, runs: DataFrame) -> DataFrame:
     """(list_id, received_us, ranges) of each complete list; ranges: the id ranges that successful runs read of it.
 
     A run covers a span of time (from_at excluded, cut_at included), so lists and runs meet on
-    buckets of time as wide as the mean span: an equi-join, in which a run takes part about
-    three times. Rows with a null bound or done other than true read nothing. Lists repeated
+    buckets of time as wide as the mean span, at most BUCKETS of them: an equi-join, in which a run
+    takes part about three times. Rows with a null bound or done other than true read nothing. Lists repeated
     alike count once; one with no received_at is complete but read by no run.
     """
     complete = lists.where("done and list_id is not null").select("list_id", epoch_micros(lists, "received_at").alias("received_us")).distinct()
     done = runs.where("done").select(
         epoch_micros(runs, "from_at").alias("after_us"), epoch_micros(runs, "cut_at").alias("upto_us"), F.col("from_obj_id").alias("lo"), F.col("upto_obj_id").alias("hi")
     ).where("after_us < upto_us and lo <= hi").distinct()
-    mean = done.agg(F.avg(F.col("upto_us") - F.col("after_us"))).first()[0]
-    width = max(1, int(mean or 1))
+    mean, first, last = done.agg(F.avg(F.col("upto_us") - F.col("after_us")), F.min("after_us"), F.max("upto_us")).first()
+    width = max(1, int(mean or 1), ((last or 0) - (first or 0)) // BUCKETS)
     bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("bigint")
     spread = done.withColumn("bucket", F.explode(F.sequence(bucket("after_us"), bucket("upto_us"))))
     met = (

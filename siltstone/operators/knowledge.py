@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.operators.sorting import range_split, split_of
+
 
 def rough_check(op: str, value, low: Column, high: Column, nulls: Column, rows: Column) -> Column:
     """'none', 'some' or 'all' of a pack's rows meet ``column op value``, from its extrema, nulls and rows; 'some' where it can't be told.
@@ -86,16 +88,33 @@ def visible(df: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return df.join(deleted.select(key).distinct(), key, "left_anti")
 
 
-def merge_intervals(df: DataFrame, low: str, high: str, group: Sequence[str] = ()) -> DataFrame:
+def merge_intervals(df: DataFrame, low: str, high: str, group: Sequence[str] = (), parts: int = 64) -> DataFrame:
     """(group, low, high): the interval set, whole numbers with both ends included; adjoining intervals join.
 
-    Gaps and islands by a window per group; rows with a null or inverted interval are left out.
+    Gaps and islands in blocks of starting points, cut at quantiles, so that a group with very many
+    intervals is spread over tasks; what reaches over from earlier blocks, and the number of islands in them, comes from
+    a row per block. Rows with a null or inverted interval are left out.
     """
     rows = df.where(F.col(low) <= F.col(high)).select(*group, F.col(low).alias("__l"), F.col(high).alias("__h")).distinct()
-    w = Window.partitionBy(*group).orderBy("__l", "__h")
-    before = F.max("__h").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("__new", F.when(before.isNull() | (F.col("__l") > before + 1), 1).otherwise(0)).withColumn("__g", F.sum("__new").over(w))
-    return marked.groupBy(*group, "__g").agg(F.min("__l").alias(low), F.max("__h").alias(high)).drop("__g")
+    rows = rows.withColumn("__b", split_of(F.col("__l"), range_split(rows, "__l", parts)))
+    w = Window.partitionBy(*group, "__b").orderBy("__l", "__h")
+    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    tops = rows.groupBy(*group, "__b").agg(F.max("__h").alias("__top"))
+    far = tops.select(*(F.col(g).alias(f"__g_{g}") for g in group), F.col("__b").alias("__fb"), F.max("__top").over(before).alias("__far"))
+    reached = rows.join(far, _same_block(group, "__fb"), "left").drop("__fb", *(f"__g_{g}" for g in group))
+    edge = F.greatest(F.max("__h").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__far"))
+    marked = reached.withColumn("__new", F.when(edge.isNull() | (F.col("__l") > edge + 1), 1).otherwise(0)).withColumn("__n", F.sum("__new").over(w))
+    counts = marked.groupBy(*group, "__b").agg(F.sum("__new").alias("__k"))
+    base = counts.select(*(F.col(g).alias(f"__g_{g}") for g in group), F.col("__b").alias("__fb"), F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__base"))
+    numbered = marked.join(base, _same_block(group, "__fb"), "left").withColumn("__island", F.col("__base") + F.col("__n"))
+    return numbered.groupBy(*group, "__island").agg(F.min("__l").alias(low), F.max("__h").alias(high)).drop("__island")
+
+
+def _same_block(group: Sequence[str], block: str) -> Column:
+    test = F.col("__b") == F.col(block)
+    for g in group:
+        test = test & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    return test
 
 
 def remove_interval(intervals: DataFrame, low: str, high: str, gone: tuple[int, int]) -> DataFrame:

@@ -183,6 +183,7 @@ def test_index_keeps_the_best_over_batches(spark):
     want = {("a", 9), ("b", 2), ("c", 4)}
     assert {(r["id"], r["row"]) for r in index.kept().collect()} == want
     index.merge()
+    index.vacuum()
     assert {(r["id"], r["row"]) for r in index.kept().collect()} == want
 
 

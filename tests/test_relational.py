@@ -113,6 +113,23 @@ def test_intervals_and_packs(spark):
     assert verdict("<>", 100) == ["all", "all", "some", "none"]
 
 
+def test_interval_sets_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(2)
+    data = [(rnd.choice(["a", None]), low, low + rnd.randrange(-1, 12)) for low in (rnd.randrange(1200) for _ in range(250))]
+    want = []
+    for g in ("a", None):
+        points = sorted({x for k, low, high in data if k == g for x in range(low, high + 1)})
+        for x in points:
+            if want and want[-1][0] == g and want[-1][2] == x - 1:
+                want[-1][2] = x
+            else:
+                want.append([g, x, x])
+    got = K.merge_intervals(spark.createDataFrame(data, "g string, l bigint, h bigint"), "l", "h", ["g"], parts=7)
+    assert rows(got) == sorted((tuple(x) for x in want), key=repr)
+
+
 def test_range_split(spark):
     df = spark.range(1000).withColumn("k", c("id") % 10)
     cuts = S.range_split(df, "k", 4)
