@@ -83,6 +83,16 @@ def io_backup(spark: SparkSession, d: str) -> DataFrame:
     return back["region"].agg(F.lit("region").alias("name"), F.count(F.lit(1)).alias("rows")).union(back["nation"].agg(F.lit("nation"), F.count(F.lit(1))))
 
 
+@R.add("select s_suppkey as id, s_name as name, s_acctbal as balance from supplier where s_suppkey > 10")
+def io_jdbc(spark: SparkSession, d: str) -> DataFrame:
+    """Rows appended to a remote table and read from it in ranges: here an embedded database in memory (O-13, O-19, O-36)."""
+    place = {"url": f"jdbc:derby:memory:{scratch(spark, 'db').rsplit('-', 1)[1]};create=true", "table": "suppliers"}
+    x = t(spark, d, "supplier").select(c("s_suppkey").alias("id"), c("s_name").alias("name"), c("s_acctbal").alias("balance"))
+    B.append_remote(x.coalesce(2), **place)
+    back = B.remote_table(spark, **place, split="id", bounds=(0, x.count()), parts=4)
+    return back.select(*(c(n).alias(n.lower()) for n in back.columns)).where("id > 10")
+
+
 @R.add("select count(*) as files, true as whole from region where r_regionkey = 0")
 def io_load_file(spark: SparkSession, d: str) -> DataFrame:
     """LOAD_FILE: a file as a value (O-5, O-199)."""

@@ -1,8 +1,9 @@
 """Profiles of Parquet tables from their footers and dictionaries.
 
 Nulls and extrema come from the footer wherever its statistics are exact; a chunk is scanned
-only where they are missing, inexact or impossible. Distinct values and pattern violations come
-from the chunks' dictionaries, so a value is looked at once per chunk.
+only where they are missing, inexact or impossible. Distinct values come from the dictionary page of a
+chunk whose data is all coded by it, and so does the answer that no value violates a pattern; only
+other chunks, and those in which violations have to be counted, are scanned.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHAPE = "path string, row_group int, column_name string, kind string, rows bigint, nulls bigint, low string, high string, low_n double, high_n double, from_footer boolean, violations bigint, hashes array<bigint>"
+from siltstone.sources import pages
+
+SHAPE = "path string, row_group int, column_name string, kind string, rows bigint, nulls bigint, low string, high string, low_n double, high_n double, from_footer boolean, violations bigint, hashes array<bigint>, scanned boolean"
 
 
 def _text(v) -> str | None:
@@ -42,12 +45,38 @@ def exact_statistics(chunk) -> tuple[int, object, object] | None:
     return (s.null_count, s.min, s.max) if s.min <= s.max else None
 
 
+def _profile_chunk(file, g: int, name: str, known: tuple | None, words, pattern: str | None, distinct: bool) -> tuple:
+    """(nulls, low, high, low_n, high_n, from_footer, violations, hashes, scanned): from footer and dictionary as far as they tell, else from the data."""
+    import pyarrow.compute as pc
+
+    bad = found = None
+    if words is not None:
+        found = pages.hashes(words) if distinct else None
+        if pattern is not None and isinstance(words, list) and pc.all(pc.match_substring_regex(pa.array(words, pa.binary()).cast(pa.string()), pattern), min_count=0).as_py():
+            bad = 0
+    scan = known is None or (distinct and found is None) or (pattern is not None and bad is None)
+    exact = known
+    if scan:
+        counted = pc.value_counts(file.read_row_group(g, columns=[name])[name].combine_chunks())
+        keys, counts = counted.field("values"), counted.field("counts").to_numpy()
+        if pa.types.is_dictionary(keys.type):
+            keys = keys.dictionary_decode()
+        there = keys.is_valid().to_numpy(zero_copy_only=False)
+        if known is None:
+            seen = pc.min_max(keys)
+            exact = int(counts[~there].sum()), seen["min"].as_py(), seen["max"].as_py()
+        if pattern is not None and pa.types.is_string(keys.type):
+            fits = pc.match_substring_regex(keys, pattern).to_numpy(zero_copy_only=False)
+            bad = int(counts[there & (fits == False)].sum())  # noqa: E712
+        if distinct and found is None:
+            found = pages.hashes(pages.physical(keys.drop_null()))
+    nulls, low, high = exact
+    return nulls, _text(low), _text(high), _number(low), _number(high), known is not None, bad, None if found is None else found.tolist(), scan
+
+
 def _chunks(patterns: Mapping[str, str], distinct: bool, columns: frozenset[str] | None):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import pyarrow.compute as pc
         import pyarrow.parquet as pq
-        import xxhash
         from pyarrow import fs
 
         for batch in batches:
@@ -59,35 +88,14 @@ def _chunks(patterns: Mapping[str, str], distinct: bool, columns: frozenset[str]
                     texts = [f.name for f in footer.schema_arrow if pa.types.is_string(f.type) or pa.types.is_binary(f.type)]
                     file = pq.ParquetFile(handle, metadata=footer.metadata, read_dictionary=texts)
                     place = {footer.metadata.schema.column(i).path: i for i in range(footer.metadata.num_columns)}
+                    coded = pages.chunks(handle) if distinct or patterns else []
                     for g in range(footer.metadata.num_row_groups):
                         group, out = footer.metadata.row_group(g), []
                         for name in flat:
                             known = exact_statistics(group.column(place[name]))
-                            values = None
-                            if known is None or distinct or name in patterns:
-                                values = file.read_row_group(g, columns=[name])[name].combine_chunks()
-                            bad = None
-                            hashes = None
-                            if values is not None:
-                                counted = pc.value_counts(values)
-                                keys, counts = counted.field("values"), counted.field("counts").to_numpy()
-                                if pa.types.is_dictionary(keys.type):
-                                    keys = keys.dictionary_decode()
-                                there = keys.is_valid().to_numpy(zero_copy_only=False)
-                                if known is None:
-                                    seen = pc.min_max(keys)
-                                    known_values = (int(counts[~there].sum()), seen["min"].as_py(), seen["max"].as_py())
-                                else:
-                                    known_values = known
-                                if name in patterns and pa.types.is_string(keys.type):
-                                    fits = pc.match_substring_regex(keys, patterns[name]).to_numpy(zero_copy_only=False)
-                                    bad = int(counts[there & (fits == False)].sum())  # noqa: E712
-                                if distinct:
-                                    hashes = [xxhash.xxh3_64_intdigest(repr(v)) - (1 << 63) for v in keys.drop_null().to_pylist()]
-                            else:
-                                known_values = known
-                            nulls, low, high = known_values
-                            out.append((uri, g, name, str(footer.schema_arrow.field(name).type), group.num_rows, nulls, _text(low), _text(high), _number(low), _number(high), known is not None, bad, hashes))
+                            words = pages.dictionary(handle, coded[g][name]) if (distinct or name in patterns) and name in coded[g] else None
+                            row = _profile_chunk(file, g, name, known, words, patterns.get(name), distinct)
+                            out.append((uri, g, name, str(footer.schema_arrow.field(name).type), group.num_rows, *row))
                         if out:
                             yield pa.RecordBatch.from_pylist([dict(zip((c.split()[0] for c in SHAPE.split(", ")), r)) for r in out], schema=_arrow())
 
@@ -103,7 +111,8 @@ def chunk_statistics(spark: SparkSession, path: str, patterns: Mapping[str, str]
     """A row per row group and flat column (of ``columns`` if given) of the table at ``path``; a task takes one file at a time.
 
     ``patterns`` gives RE2 patterns of string columns by name: violations counts the values, nulls
-    apart, that don't contain a match. from_footer tells whether nulls and extrema needed no scan.
+    apart, that don't contain a match. from_footer tells whether nulls and extrema needed no scan,
+    scanned whether anything did.
     Nested columns are left out; files without rows give none.
     """
     files = spark.read.parquet(path).inputFiles()
@@ -112,9 +121,9 @@ def chunk_statistics(spark: SparkSession, path: str, patterns: Mapping[str, str]
 
 
 def profile_columns(spark: SparkSession, path: str, patterns: Mapping[str, str] | None = None) -> DataFrame:
-    """(column_name, kind, rows, nulls, n_distinct, low, high, violations, chunks, from_footer) of each flat column.
+    """(column_name, kind, rows, nulls, n_distinct, low, high, violations, chunks, from_footer, scanned) of each flat column.
 
-    Distinct values are counted by 64-bit hash; nulls don't count. low and high are texts; numbers
+    Distinct values are counted by 64-bit number, of texts a hash; nulls don't count. low and high are texts; numbers
     are compared as numbers, all else as text. A column in which all is null has null extrema; a
     column without pattern has null violations.
     """
@@ -130,9 +139,10 @@ def profile_columns(spark: SparkSession, path: str, patterns: Mapping[str, str]
         F.sum("violations").alias("violations"),
         F.count(F.lit(1)).alias("chunks"),
         F.count_if("from_footer").alias("from_footer"),
+        F.count_if("scanned").alias("scanned"),
     )
     counted = chunks.select("column_name", F.explode("hashes").alias("h")).distinct().groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     return base.join(counted, "column_name", "left").select(
         "column_name", "kind", "rows", "nulls", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
-        F.coalesce("ln.low", "low_t").alias("low"), F.col("h.high").alias("high"), "violations", "chunks", "from_footer",
+        F.coalesce("ln.low", "low_t").alias("low"), F.col("h.high").alias("high"), "violations", "chunks", "from_footer", "scanned",
     )

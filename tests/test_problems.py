@@ -142,13 +142,51 @@ def test_profiles_of_files(spark, tmp_path):
     got = {r["column_name"]: r for r in profile_columns(spark, str(tmp_path / "t"), {"s": "^x"}).collect()}
     assert {k: (r["rows"], r["nulls"], r["n_distinct"]) for k, r in got.items()} == {"a": (8, 2, 2), "s": (8, 2, 3), "f": (8, 2, 3), "e": (8, 8, 0)}
     assert (got["a"]["low"], got["a"]["high"], got["a"]["chunks"], got["a"]["from_footer"]) == ("1", "2", 3, 2)
+    assert (got["a"]["scanned"], got["f"]["scanned"], got["s"]["scanned"]) == (1, 3, 2)
     assert got["s"]["violations"] == 2 and got["a"]["violations"] is None and got["e"]["low"] is None
-    p = spark.createDataFrame([tuple(r) for r in got.values()], "column_name string, kind string, rows bigint, nulls bigint, n_distinct bigint, low string, high string, violations bigint, chunks bigint, from_footer bigint")
+    p = spark.createDataFrame([tuple(r) for r in got.values()], "column_name string, kind string, rows bigint, nulls bigint, n_distinct bigint, low string, high string, violations bigint, chunks bigint, from_footer bigint, scanned bigint")
     assert not any(r["changed"] for r in compare_profiles(p, p).collect())
     moved = p.withColumn("nulls", F.when(F.col("column_name") == "a", 6).otherwise(F.col("nulls")))
     assert [r["column_name"] for r in compare_profiles(p, moved).where("changed").collect()] == ["a"]
 
 
+def test_dictionaries_against_the_data(tmp_path):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from siltstone.sources import pages
+
+    rnd = random.Random(4)
+    n = 3000
+    t = pa.table(
+        {
+            "i": pa.array([rnd.choice([None, 1, -5, 2**31 - 1]) for _ in range(n)], pa.int32()),
+            "l": pa.array([rnd.choice([None, 2**62, -1]) for _ in range(n)]),
+            "d": [rnd.choice([None, 0.5, -0.0, 0.0, float("nan")]) for _ in range(n)],
+            "s": [rnd.choice([None, "", "é", "long" * 50]) for _ in range(n)],
+            "t": pa.array([rnd.choice([None, 1, 10**15]) for _ in range(n)], pa.timestamp("us")),
+            "many": [str(rnd.random()) * 20 for _ in range(n)],
+            "none": pa.array([None] * n, pa.int64()),
+        }
+    )
+    for codec in ("none", "snappy", "gzip", "zstd", "lz4", "brotli"):
+        for version in ("1.0", "2.0"):
+            path = tmp_path / f"{codec}{version}.parquet"
+            pq.write_table(t, path, compression=codec, row_group_size=1000, data_page_version=version, dictionary_pagesize_limit=20_000, write_batch_size=100)
+            with pa.OSFile(str(path)) as f:
+                groups = pages.chunks(f)
+                assert len(groups) == 3
+                for g, own in enumerate(groups):
+                    part = t.slice(g * 1000, 1000)
+                    assert not own["many"].complete and pages.dictionary(f, own["many"]) is None
+                    for name in ("i", "l", "d", "s", "t"):
+                        words = pages.dictionary(f, own[name])
+                        want = pages.hashes(pages.physical(part[name].combine_chunks().drop_null()))
+                        assert words is not None and set(pages.hashes(words)) == set(want), (codec, name)
+            assert np.isclose(pq.read_metadata(path).num_rows, n)
+
+
 MESSAGE = "queryid bigint, delivery_id bigint, timestamp double, batch_id bigint, held_row string, prefix int"
 
 
