@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +63,9 @@ def _split(spark: SparkSession, d: str, name: str, stamp: str | None) -> tuple[D
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """delivery_id of every request and response that repeats a queryid."""
-    parts = [_split(spark, d, n, s)[1].select("delivery_id") for n, s in (("msgriakasyncreq", "timestamp"), ("msgriakasyncresp", None))]
-    return parts[0].unionByName(parts[1])
+    with ThreadPool(2) as both:  # the tables are independent, so their jobs share the cluster
+        parts = both.starmap(_split, [(spark, d, "msgriakasyncreq", "timestamp"), (spark, d, "msgriakasyncresp", None)])
+    return parts[0][1].select("delivery_id").unionByName(parts[1][1].select("delivery_id"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

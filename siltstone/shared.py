@@ -46,6 +46,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A plain scan for costly work on each row: one in fewer partitions than there are cores is dealt out by ``key``, others stay.
+
+    Of a small table in one file a single task would do all; a large one has partitions enough and isn't moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def release(spark: SparkSession) -> None:
     """Delete the working tables of this application."""
     jvm = spark.sparkContext._jvm
