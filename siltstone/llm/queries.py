@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import packing, pages, tokens
 from siltstone.session import table
-from siltstone.shared import materialize
+from siltstone.shared import materialize, spread
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The ids of every document's text."""
-    return tokens.encode(table(spark, d, "documents"))
+    return tokens.encode(_documents(spark, d))
 
 
 def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Of every document the number of ids, of ids that begin inside a character, and whether decoding gives the text back."""
-    return tokens.round_trip(table(spark, d, "documents"))
+    return tokens.round_trip(_documents(spark, d))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    sized = materialize(tokens.sizes(table(spark, d, "documents")), "sizes")
+    sized = materialize(tokens.sizes(_documents(spark, d)), "sizes")
     return packing.pack(sized, table(spark, d, "containers"))
 
 
@@ -40,7 +44,7 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """doc_id of the pages made of keywords, links or tags."""
     documents = table(spark, d, "documents")
-    return pages.find_stuffed(documents, pages.train(documents, table(spark, d, "pagelabels"))).select("doc_id")
+    return pages.find_stuffed(_documents(spark, d), pages.train(documents, table(spark, d, "pagelabels"))).select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p6_ids, p6_roundtrip, p7_packed, p7_summary, p8_found)}
