@@ -6,6 +6,8 @@ then costs a read, not the job.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,8 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    made = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    spark.sparkContext.setCheckpointDir(made)
+    made = tempfile.mkdtemp(prefix="siltstone-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(f"file://{made}")
     return spark.sparkContext.getCheckpointDir()
 
 
