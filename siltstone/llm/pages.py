@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.charsets import GONE, undone
+
 #: Most labelled pages that the model is fitted to, taken by the hash of their id.
 SAMPLE = 3000
 #: Words of a piece; a Han, kana or Hangul character counts as half a word.
@@ -86,12 +88,12 @@ def _kind(t: str) -> tuple[int, float, bool, bool, bool]:
 
 @dataclass
 class Pieces:
-    """Pieces of several pages: page of each (sorted), words, a symbol for each feature, and characters that are neither words nor signs of a sentence."""
+    """Pieces of several pages: page of each (sorted), words, a symbol for each feature, and characters lost in decoding."""
 
     page: np.ndarray
     words: np.ndarray
     symbols: np.ndarray
-    odd: np.ndarray
+    lost: np.ndarray
 
 
 def _binned(x: np.ndarray, *edges: float) -> np.ndarray:
@@ -99,8 +101,8 @@ def _binned(x: np.ndarray, *edges: float) -> np.ndarray:
 
 
 def pieces(texts: list[str | None]) -> Pieces:
-    """The pieces of each text; null and blank texts have none."""
-    found = [TOKEN.findall(t) if t else [] for t in texts]
+    """The pieces of each text, decoded again where a wrong charset was taken; null and blank texts have none."""
+    found = [TOKEN.findall(undone(t, GLUE)) if t else [] for t in texts]
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     if not sizes.sum():
         return Pieces(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FEATURES), np.int8), np.zeros(0))
@@ -119,8 +121,9 @@ def pieces(texts: list[str | None]) -> Pieces:
     running = np.cumsum(weight)
     start = (running - weight)[new]
     within = (running - weight - start[line]) // PIECE
+    gone = np.array([t == GONE for t in unique])[codes]
     keep = kind != BREAK
-    kind, weight, glue, cap, upper, folded, page, line, within = (x[keep] for x in (kind, weight, glue, cap, upper, folded, page, line, within))
+    kind, weight, glue, cap, upper, folded, page, line, within, gone = (x[keep] for x in (kind, weight, glue, cap, upper, folded, page, line, within, gone))
     if not len(kind):
         return Pieces(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FEATURES), np.int8), np.zeros(0))
     first = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (within[1:] != within[:-1])])
@@ -162,9 +165,8 @@ def pieces(texts: list[str | None]) -> Pieces:
         ],
         axis=1,
     )
-    odd = add(kind == OTHER)
-    solid = (words > 0) | (odd > 0)
-    return Pieces(at_page[solid], words[solid], symbols[solid], odd[solid])
+    solid = (words > 0) | (add(kind == OTHER) > 0)
+    return Pieces(at_page[solid], words[solid], symbols[solid], add(gone)[solid])
 
 
 def seeds(symbols: np.ndarray) -> np.ndarray:
@@ -273,11 +275,11 @@ def _emissions(weight: np.ndarray, symbols: np.ndarray, prior: float = 2.0) -> n
 def listed(states: np.ndarray, p: Pieces, pages: int) -> tuple[np.ndarray, np.ndarray]:
     """(share, words) per page: of the words outside menus those in link and tag lists, and their number.
 
-    Both are 0 for a page with more odd characters than words: it was decoded by a wrong charset and can't be judged.
+    Both are 0 for a page with more U+FFFD than words: its characters are lost and it can't be judged.
     """
     lists = np.bincount(p.page, p.words * ((states == LINK) | (states == TAG)), pages)
     content = np.bincount(p.page, p.words * (states != MENU), pages)
-    lists[np.bincount(p.page, p.odd, pages) > np.bincount(p.page, p.words, pages)] = 0
+    lists[np.bincount(p.page, p.lost, pages) > np.bincount(p.page, p.words, pages)] = 0
     return lists / np.maximum(content, 1), lists
 
 
@@ -337,9 +339,9 @@ def sample_pieces(documents: DataFrame) -> tuple[Pieces, list]:
                 p = pieces(texts)
                 edge = np.searchsorted(p.page, np.arange(len(ids) + 1))
                 words = [p.words[a:b].astype("<f8").tobytes() for a, b in zip(edge, edge[1:])]
-                odd = [p.odd[a:b].astype("<f8").tobytes() for a, b in zip(edge, edge[1:])]
+                lost = [p.lost[a:b].astype("<f8").tobytes() for a, b in zip(edge, edge[1:])]
                 symbols = [p.symbols[a:b].tobytes() for a, b in zip(edge, edge[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch["i"].type), *(pa.array(x, pa.binary()) for x in (words, symbols, odd))], names=["i", "w", "s", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch["i"].type), *(pa.array(x, pa.binary()) for x in (words, symbols, lost))], names=["i", "w", "s", "o"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = documents.selectExpr("doc_id as i", "text as t").mapInArrow(run, f"i {kind}, w binary, s binary, o binary").toPandas().sort_values("i")
