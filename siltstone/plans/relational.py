@@ -450,8 +450,18 @@ def profile_analyse(spark: SparkSession, d: str) -> DataFrame:
 @R.add("select o_orderkey, o_orderstatus, o_totalprice, row_number() over (order by o_orderstatus desc, o_totalprice, o_orderkey)::integer as place from orders where o_orderkey % 10 = 1")
 def order_multi(spark: SparkSession, d: str) -> DataFrame:
     """ORDER BY several columns in both directions; the place makes the order part of the result (O-127 to O-130, O-136, O-137, O-139)."""
-    x = t(spark, d, "orders").where("o_orderkey % 10 = 1").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return number_rows(x.orderBy(c("o_orderstatus").desc(), "o_totalprice", "o_orderkey"), "place").withColumn("place", c("place").cast("int"))
+    return _placed(t(spark, d, "orders").where("o_orderkey % 10 = 1"))
+
+
+@R.add("select o_orderkey, o_orderstatus, o_totalprice, row_number() over (order by o_orderstatus desc, o_totalprice, o_orderkey)::integer as place from orders")
+def order_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the whole table (O-127, O-129, O-137)."""
+    return _placed(t(spark, d, "orders"))
+
+
+def _placed(orders: DataFrame) -> DataFrame:
+    x = orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return number_rows(x.orderBy(c("o_orderstatus").desc(), "o_totalprice", "o_orderkey"), "place", held=True).withColumn("place", c("place").cast("int"))
 
 
 @R.add("select l_orderkey, l_linenumber, l_extendedprice from lineitem order by l_extendedprice desc, l_orderkey, l_linenumber limit 25")

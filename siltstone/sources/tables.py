@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.joins import union_tables
+from siltstone.shared import materialize
 
 
 def blocks(df: DataFrame, size: int = 65536) -> Iterator[list[Row]]:
@@ -102,9 +103,15 @@ def guard(df: DataFrame, most_bytes: int) -> DataFrame:
     return df
 
 
-def number_rows(df: DataFrame, name: str = "id", start: int = 1) -> DataFrame:
-    """AUTO_INCREMENT: consecutive numbers from ``start`` in the order of partitions; one count per partition, no shuffle of rows."""
+def number_rows(df: DataFrame, name: str = "id", start: int = 1, held: bool = False) -> DataFrame:
+    """AUTO_INCREMENT: consecutive numbers from ``start`` in the order of partitions; one count per partition, no shuffle of rows.
+
+    Partitions are counted in a run of their own. Rows that may fall in others when run again, as
+    after a sort, whose ranges are sampled each time, must be ``held``: stored once with their places.
+    """
     ids = df.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    if held:
+        ids = materialize(ids, "numbered")
     sizes = ids.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__m").alias("first")).orderBy("__p").collect()  # a row per partition
     base, pairs = start, []
     for r in sizes:
