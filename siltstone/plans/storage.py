@@ -282,12 +282,31 @@ def events_streamed(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add("select count(*) as rows, true as refused from orders where o_orderkey <= 2000")
 def range_messages(spark: SparkSession, d: str) -> DataFrame:
-    """Data messages by row-id range: an overlapping one is refused (O-245, O-247, O-275, O-276)."""
+    """Data messages by row-id range: an overlapping one is refused; a range of ids read from the whole table taken in (O-245, O-247, O-275, O-276)."""
+    rows, refused = _inbox(t(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return rows.where("o_orderkey <= 2000").agg(F.count(F.lit(1)).alias("rows"), F.lit(refused).alias("refused"))
+
+
+@R.add("select count(*) as rows, count(distinct o_orderkey) as ids, true as refused from orders")
+def range_messages_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All rows that the messages brought (O-247)."""
+    rows, refused = _inbox(t(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderkey").alias("ids"), F.lit(refused).alias("refused"))
+
+
+def _inbox(x: DataFrame, key: str, messages: int = 8) -> tuple[DataFrame, bool]:
+    """All rows with an id, sent in adjoining ranges between the least and the greatest id, and whether ranges that overlap or come again were refused."""
+    spark = x.sparkSession
     box = E.RangeInbox(spark, scratch(spark, "inbox"))
-    x = t(spark, d, "orders").select("o_orderkey")
-    part = lambda a, b: box.take(x.where(c("o_orderkey").between(a, b)), a, b)
-    taken = [part(0, 1000), part(1001, 2000), part(500, 1500), part(0, 1000)]
-    return box.rows().agg(F.count(F.lit(1)).alias("rows"), F.lit(taken == [True, True, False, False]).alias("refused"))
+    part = lambda a, b: box.take(x.where(c(key).between(a, b)), a, b)
+    least, most = x.agg(F.min(key), F.max(key)).first()
+    if least is None:
+        return x.limit(0), True
+    cuts = sorted({least + (most + 1 - least) * i // messages for i in range(messages)} | {most + 1})
+    ranges = [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
+    taken = [part(a, b) for a, b in ranges]
+    again = [part(a, b) for a, b in ranges] + [part(a, d) for (a, _), (_, d) in zip(ranges, ranges[1:])] + [part(b, b + 1) for _, b in ranges] + [part(least, most)]
+    return box.rows(), all(taken) and not any(again)
 
 
 @R.add("select s_suppkey, s_name from supplier where s_acctbal > 0")

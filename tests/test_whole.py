@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.plans import relational
+from siltstone.plans import relational, storage
 from siltstone.sources.tables import number_rows
 
 c = F.col
@@ -32,3 +32,19 @@ def test_order_whole(spark, apart, small):
     want = sorted(orders.select("o_orderkey", "o_orderstatus", "o_totalprice").collect(), key=lambda r: ([-ord(x) for x in r[1]], r[2], r[0]))
     assert [r["place"] for r in got] == list(range(1, orders.count() + 1))
     assert [tuple(r)[:3] for r in got] == [tuple(r) for r in want]
+
+
+def test_messages_bring_the_whole_table(spark, small, monkeypatch):
+    """Ids beyond any fixed bound come in, once each."""
+    boxes = []
+    made = storage.E.RangeInbox
+    monkeypatch.setattr(storage.E, "RangeInbox", lambda *a: boxes.append(made(*a)) or boxes[-1])
+    orders = spark.read.parquet(f"{small}/orders.parquet").withColumn("o_orderkey", c("o_orderkey") * 7 - 3000)
+    monkeypatch.setattr(storage, "t", lambda *a: orders)
+    got = storage.range_messages(spark, small).first()
+    assert (got["rows"], got["refused"]) == (orders.where("o_orderkey <= 2000").count(), True)
+    assert sorted(r[0] for r in boxes[0].rows().collect()) == sorted(r[0] for r in orders.select("o_orderkey").collect())
+    assert storage.range_messages_whole(spark, small).first()["rows"] == orders.count()
+    for few in (orders.limit(0), orders.limit(1)):
+        rows, refused = storage._inbox(few.select("o_orderkey"), "o_orderkey")
+        assert (rows.count(), refused) == (few.count(), True)
