@@ -155,7 +155,7 @@ def split_copies(messages: DataFrame, index: IdentifierIndex, ident: str, row: s
 
     Of each identifier the copy with the least ``stamp`` (nulls last), then the least ``row`` stays,
     in whatever batch it came; rows without identifier all stay. The table is taken in as a backlog
-    of ``rounds`` parts, cut at quantiles of ``batch``. Dropped rows are found by their unique
+    of ``rounds`` parts, cut at quantiles of ``batch``, whose runs are merged at the end. Dropped rows are found by their unique
     ``row``, so a hot identifier doesn't make a hot task. An empty table gives two empty results;
     extra columns come along unchanged.
     """
@@ -170,6 +170,7 @@ def split_copies(messages: DataFrame, index: IdentifierIndex, ident: str, row: s
             upto = F.col("__b") <= high
             part = part.where(upto if low is not None else upto | F.col("__b").isNull())
         index.ingest(part.select("id", "stamp", "row"), f"{low}..{high}")
+    index.merge()
     own = unused("held_row", messages)
     held = index.kept().select(F.col("row").alias(own))
     dropped = known.join(held, F.col(row) == F.col(own), "left_anti")

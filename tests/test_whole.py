@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.operators.dedup import IdentifierIndex, split_copies
 from siltstone.plans import relational, storage
+from siltstone.shared import scratch
 from siltstone.sources.tables import number_rows
 
 c = F.col
@@ -48,3 +50,15 @@ def test_messages_bring_the_whole_table(spark, small, monkeypatch):
     for few in (orders.limit(0), orders.limit(1)):
         rows, refused = storage._inbox(few.select("o_orderkey"), "o_orderkey")
         assert (rows.count(), refused) == (few.count(), True)
+
+
+def test_runs_of_a_backlog_are_merged(spark):
+    rows = spark.range(400).select((c("id") % 150).alias("k"), c("id").alias("n"), (400 - c("id")).cast("double").alias("at"), (c("id") % 20).alias("b"))
+    index = IdentifierIndex(spark, scratch(spark, "merged"))
+    kept, dropped = split_copies(rows, index, "k", "n", "at", "b")
+    assert len(index._state()["runs"]) == 1 and len(index._state()["batches"]) == 2
+    best = {}
+    for k, n, at, _ in rows.collect():
+        best[k] = min(best.get(k, (at, n)), (at, n))
+    assert {r["n"] for r in kept.collect()} == {n for _, n in best.values()}
+    assert dropped.count() == 400 - len(best)
