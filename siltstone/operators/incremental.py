@@ -133,7 +133,9 @@ class CommitLog:
         """One run over versioned deliveries: commits (obj_id, version) of all objects unread so far, by ``runs`` and by this log.
 
         The upper limit is the last complete list when the run starts; with the output it becomes the
-        watermark, up to which all is settled. A run that fails commits neither, and the next takes
+        watermark. What this log has settled is told by its output: an object comes again only when its
+        newest version isn't among those committed, so lists that arrive late, become complete or have
+        no received_at aren't skipped. A run that fails commits neither, and the next takes
         the same objects; a run with nothing to take commits no rows.
         """
         done = self.commits()
@@ -141,7 +143,11 @@ class CommitLog:
         limit = last_received(lists)
         if limit is None or (mark is not None and limit < mark):
             limit = mark
-        return self._write(unread_objects(pairs, meta, lists, runs, mark, limit), done, limit)
+        unread, before = unread_objects(pairs, meta, lists, runs, limit=limit), self.output()
+        if before is not None:
+            settled = before.select(F.col("obj_id").alias("o"), F.col("version").alias("v")).distinct()
+            unread = unread.join(settled, (F.col("obj_id") == F.col("o")) & F.col("version").eqNullSafe(F.col("v")), "left_anti")
+        return self._write(unread, done, limit)
 
     def output(self) -> DataFrame | None:
         """All committed output."""

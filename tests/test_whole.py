@@ -1,9 +1,12 @@
 """Queries over whole tables, and what only shows on them."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators.dedup import IdentifierIndex, split_copies
+from siltstone.operators.incremental import CommitLog
 from siltstone.plans import relational, storage
 from siltstone.shared import scratch
 from siltstone.sources.tables import number_rows
@@ -62,3 +65,20 @@ def test_runs_of_a_backlog_are_merged(spark):
         best[k] = min(best.get(k, (at, n)), (at, n))
     assert {r["n"] for r in kept.collect()} == {n for _, n in best.values()}
     assert dropped.count() == 400 - len(best)
+
+
+def test_late_lists_are_not_skipped(spark):
+    """A list without received_at, one that becomes complete and one that arrives at or below the watermark, after a first run."""
+    at = datetime.datetime
+    pairs = lambda *x: spark.createDataFrame(x, "list_id bigint, obj_id bigint")
+    meta = lambda *x: spark.createDataFrame(x, "list_id bigint, obj_id bigint, timestamp double")
+    lists = lambda *x: spark.createDataFrame(x, "list_id bigint, done boolean, received_at timestamp_ntz")
+    runs = spark.createDataFrame([], "from_at timestamp_ntz, cut_at timestamp_ntz, from_obj_id bigint, upto_obj_id bigint, done boolean")
+    log = CommitLog(spark, scratch(spark, "late"))
+    first = [(1, True, at(2024, 1, 5))], (1, 10), (1, 10, 1.0)
+    log.take_unread(pairs(first[1]), meta(first[2]), lists(*first[0], (2, False, at(2024, 1, 3))), runs)
+    later = lists(*first[0], (2, True, at(2024, 1, 3)), (3, True, None), (4, True, at(2024, 1, 5)), (5, True, at(2024, 1, 1)))
+    held = pairs((1, 10), (2, 20), (3, 30), (4, 40), (5, 10)), meta((1, 10, 1.0), (2, 20, 1.0), (4, 40, 2.0), (5, 10, 0.5))
+    entry = log.take_unread(*held, later, runs)
+    assert {r[0] for r in spark.read.parquet(entry["path"]).collect()} == {20, 30, 40}
+    assert spark.read.parquet(log.take_unread(*held, later, runs)["path"]).count() == 0
