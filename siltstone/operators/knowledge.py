@@ -45,8 +45,9 @@ def character_map(df: DataFrame, pack: Column, text: str, positions: int = 64) -
     return spread.groupBy("pack", "position").agg(F.array_join(F.sort_array(F.collect_list("c")), "").alias("characters"))
 
 
-def may_be_like(maps: DataFrame, prefix: str) -> DataFrame:
-    """The packs of a :func:`character_map` in which a text may begin with ``prefix``."""
+def may_be_like(maps: DataFrame, prefix: str, positions: int = 64) -> DataFrame:
+    """The packs of a :func:`character_map` of so many ``positions`` in which a text may begin with ``prefix``; what lies beyond them isn't tested."""
+    prefix = prefix[:positions]
     tests = [(F.col("position") == i) & F.col("characters").contains(c) for i, c in enumerate(prefix)]
     hit = sum((t.cast("int") for t in tests[1:]), tests[0].cast("int"))
     return maps.groupBy("pack").agg(F.sum(hit).alias("n")).where(F.col("n") == len(prefix)).select("pack")

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.operators import knowledge as K
 from siltstone.operators.dedup import IdentifierIndex, split_copies
 from siltstone.operators.incremental import CommitLog
 from siltstone.plans import relational, storage
@@ -82,3 +83,10 @@ def test_late_lists_are_not_skipped(spark):
     entry = log.take_unread(*held, later, runs)
     assert {r[0] for r in spark.read.parquet(entry["path"]).collect()} == {20, 30, 40}
     assert spark.read.parquet(log.take_unread(*held, later, runs)["path"]).count() == 0
+
+
+def test_prefix_beyond_the_character_map(spark):
+    texts = spark.createDataFrame([(1, "a" * 70 + "b"), (2, "b" * 80), (3, "a" * 10)], "p int, s string")
+    maps = K.character_map(texts, c("p"), "s")
+    assert [r[0] for r in K.may_be_like(maps, "a" * 70).collect()] == [1]
+    assert [r[0] for r in K.may_be_like(maps, "b" * 3).collect()] == [2]
