@@ -27,11 +27,12 @@ def _number(v) -> float | None:
     return float(v) if isinstance(v, int | float) and not isinstance(v, bool) else None
 
 
-def exact_statistics(chunk) -> tuple[int, object, object] | None:
+def exact_statistics(chunk, marked: bool) -> tuple[int, object, object] | None:
     """(nulls, min, max) of a column chunk's footer, or None where they aren't known to be exact.
 
-    Not exact: no statistics or null count, counts that don't add up, min above max, extrema marked
-    as truncated, floating-point columns (their extrema leave NaN out).
+    Not exact: no statistics or null count, counts that don't add up, min above max, extrema of byte
+    arrays that aren't ``marked`` as exact (they may be truncated), floating-point columns (their
+    extrema leave NaN out).
     """
     s = chunk.statistics
     if s is None or not s.has_null_count or not 0 <= s.null_count <= chunk.num_values:
@@ -40,7 +41,7 @@ def exact_statistics(chunk) -> tuple[int, object, object] | None:
         return s.null_count, None, None
     if not s.has_min_max or chunk.physical_type in ("FLOAT", "DOUBLE", "INT96"):
         return None
-    if getattr(s, "is_min_value_exact", True) is False or getattr(s, "is_max_value_exact", True) is False:
+    if not marked and chunk.physical_type in ("BYTE_ARRAY", "FIXED_LEN_BYTE_ARRAY"):
         return None
     return (s.null_count, s.min, s.max) if s.min <= s.max else None
 
@@ -88,11 +89,11 @@ def _chunks(patterns: Mapping[str, str], distinct: bool, columns: frozenset[str]
                     texts = [f.name for f in footer.schema_arrow if pa.types.is_string(f.type) or pa.types.is_binary(f.type)]
                     file = pq.ParquetFile(handle, metadata=footer.metadata, read_dictionary=texts)
                     place = {footer.metadata.schema.column(i).path: i for i in range(footer.metadata.num_columns)}
-                    coded = pages.chunks(handle) if distinct or patterns else []
+                    coded = pages.chunks(handle)
                     for g in range(footer.metadata.num_row_groups):
                         group, out = footer.metadata.row_group(g), []
                         for name in flat:
-                            known = exact_statistics(group.column(place[name]))
+                            known = exact_statistics(group.column(place[name]), name in coded[g] and coded[g][name].exact)
                             words = pages.dictionary(handle, coded[g][name]) if (distinct or name in patterns) and name in coded[g] else None
                             row = _profile_chunk(file, g, name, known, words, patterns.get(name), distinct)
                             out.append((uri, g, name, str(footer.schema_arrow.field(name).type), group.num_rows, *row))

@@ -76,12 +76,13 @@ class Compact:
 
 @dataclass
 class Chunk:
-    """Where a chunk's dictionary lies, and whether all of its data is coded by it."""
+    """Where a chunk's dictionary lies, whether all of its data is coded by it, and whether its extrema are marked as exact."""
 
     physical: int
     codec: int
     offset: int | None
     complete: bool
+    exact: bool
 
 
 def chunks(file: pa.NativeFile) -> list[dict[str, Chunk]]:
@@ -100,7 +101,7 @@ def chunks(file: pa.NativeFile) -> list[dict[str, Chunk]]:
             if len(path) != 1:
                 continue
             data = [s for s in meta.get(13, []) if s[1] in DATA_PAGES and s[3] > 0]
-            own[path[0]] = Chunk(meta[1], meta[4], meta.get(11), bool(data) and all(s[2] in DICTIONARY_ENCODINGS for s in data))
+            own[path[0]] = Chunk(meta[1], meta[4], meta.get(11), bool(data) and all(s[2] in DICTIONARY_ENCODINGS for s in data), meta.get(12, {}).get(7) is True and meta.get(12, {}).get(8) is True)
         groups.append(own)
     return groups
 

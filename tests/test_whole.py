@@ -2,6 +2,8 @@
 
 import datetime
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from siltstone.operators.dedup import IdentifierIndex, split_copies
 from siltstone.operators.incremental import CommitLog
 from siltstone.plans import relational, storage
 from siltstone.shared import scratch
+from siltstone.sources.footers import profile_columns
 from siltstone.sources.tables import number_rows
 
 c = F.col
@@ -90,3 +93,15 @@ def test_prefix_beyond_the_character_map(spark):
     maps = K.character_map(texts, c("p"), "s")
     assert [r[0] for r in K.may_be_like(maps, "a" * 70).collect()] == [1]
     assert [r[0] for r in K.may_be_like(maps, "b" * 3).collect()] == [2]
+
+
+def test_truncated_extrema_are_scanned(spark, tmp_path):
+    """A footer whose extrema are cut and marked so."""
+    path = tmp_path / "x.parquet"
+    pq.write_table(pa.table({"s": ["mmmm", "zzzz"]}), path, use_dictionary=False)
+    data = path.read_bytes()
+    at = len(data) - 8 - int.from_bytes(data[-8:-4], "little")
+    assert data[at:].count(b"\x11\x11\x00") == 1 and b"mmmm" in data[at:]
+    path.write_bytes(data[:at] + data[at:].replace(b"\x11\x11\x00", b"\x12\x12\x00").replace(b"mmmm", b"mmaa"))
+    got = profile_columns(spark, str(path)).first()
+    assert (got["low"], got["high"], got["from_footer"]) == ("mmmm", "zzzz", 0)
