@@ -1,4 +1,9 @@
-"""A numbered list of JSON entries in a folder, each added by one atomic rename."""
+"""A numbered list of JSON entries in a folder, each added by one atomic rename.
+
+The rename is atomic on HDFS and on file systems that share its contract. A plain object store
+copies instead: there the folder must lie behind a committer or a table format that refuses a
+second writer of the same name.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +14,10 @@ from pyspark.sql import SparkSession
 
 
 class Manifest:
-    """Entries 0, 1, 2, … under ``folder``; of two writers of the same number one fails."""
+    """Entries 0, 1, 2, … under ``folder``; of two writers of the same number one fails.
+
+    Entries never change, so each is read once by an object of this class, however often it looks.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         jvm = spark.sparkContext._jvm
@@ -18,18 +26,19 @@ class Manifest:
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.folder).getFileSystem(self._conf)
         self._fs.mkdirs(self._path(self.folder))
+        self._read: dict[str, dict] = {}
 
     def entries(self) -> list[dict]:
-        found = []
+        found = {}
         for status in self._fs.listStatus(self._path(self.folder)):
-            if status.getPath().getName().endswith(".json"):
-                found.append(status.getPath())
-        rows = []
-        for path in sorted(found, key=lambda p: p.getName()):
-            stream = self._fs.open(path)
-            rows.append(json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            name = status.getPath().getName()
+            if name.endswith(".json"):
+                found[name] = status.getPath()
+        for name in sorted(found.keys() - self._read.keys()):
+            stream = self._fs.open(found[name])
+            self._read[name] = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
             stream.close()
-        return rows
+        return [self._read[name] for name in sorted(found)]
 
     def add(self, number: int, entry: dict) -> None:
         draft = self._fs.makeQualified(self._path(f"{self.folder}/.{uuid.uuid4().hex}"))

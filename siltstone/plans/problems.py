@@ -7,7 +7,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.instants import epoch_seconds
+from siltstone.functions.instants import epoch_micros, epoch_seconds
 from siltstone.operators.changefeed import apply_changes
 from siltstone.operators.dedup import IdentifierIndex, split_copies
 from siltstone.operators.diff import difference_fields, differences
@@ -32,6 +32,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return log.output().select("obj_id")
 
 
+def p1_commits(spark: SparkSession, d: str) -> DataFrame:
+    """run and obj_id of what two runs of one log commit.
+
+    The first sees the lists received by the middle of the time, but for every seventh, which comes
+    late; the second sees all and takes in only those that the first didn't.
+    """
+    pairs, meta, lists, runs = _pair_tables(spark, d)
+    received = epoch_micros(lists, "received_at")
+    least, most = lists.where("done").agg(F.min(received), F.max(received)).first()
+    log = CommitLog(spark, scratch(spark, "commits"))
+    middle = (least or 0) + ((most or 0) - (least or 0)) // 2
+    log.take_unread(pairs, meta, lists.where((received <= F.lit(middle)) & (F.col("list_id") % 7 != 0)), runs)
+    log.take_unread(pairs, meta, lists, runs)
+    first, second = log.commits()
+    out = [spark.read.parquet(c["path"]).where("taken").select(F.lit(c["run"] + 1).alias("run"), "obj_id") for c in (first, second)]
+    return out[0].unionByName(out[1])
+
+
 def p1_window(spark: SparkSession, d: str) -> DataFrame:
     """The id range, number of objects and upper limit of the next run."""
     tables = _pair_tables(spark, d)
@@ -82,7 +100,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return difference_fields(differences(a, b, "key", ["obj_id", "value", "verify"]), "key")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_window, p2_found, p2_profile, p2_columns, p3_found, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_commits, p1_window, p2_found, p2_profile, p2_columns, p3_found, p4_found, p5_found)}
 
 _UNREAD = """
 with lists as (select distinct list_id, received_at from msgcrpairlist where done),
@@ -106,6 +124,15 @@ checked as (select *, coalesce(no_obj between 1 and 65536 and no_nulls between 0
 
 ORACLE = {
     "p1_found": _UNREAD + "select obj_id from unread",
+    "p1_commits": _UNREAD
+    + """, middle as (select epoch_us(min(received_at)) + (epoch_us(max(received_at)) - epoch_us(min(received_at))) // 2 as us from lists),
+parted as (select p.obj_id, coalesce(m.ts, -1e300) as ts, coalesce(epoch_us(l.received_at) <= (select us from middle) and l.list_id % 7 <> 0, false) as early,
+   exists(select 1 from runs r where p.obj_id between r.from_obj_id and r.upto_obj_id and l.received_at > r.from_at and l.received_at <= r.cut_at) as seen
+   from pairs p join lists l using (list_id) left join meta m on m.list_id = p.list_id and m.obj_id = p.obj_id),
+tops as (select obj_id, early, max(ts) as ts from parted group by all),
+states as (select t.obj_id, t.early, t.ts, bool_or(p.seen) as seen from tops t join parted p on p.obj_id = t.obj_id and p.early = t.early and p.ts = t.ts group by all)
+select 1 as run, obj_id from states where early and not seen
+union all select 2, s.obj_id from states s left join states e on e.early and e.obj_id = s.obj_id where not s.early and not s.seen and (e.ts is null or s.ts > e.ts)""",
     "p1_window": _UNREAD
     + "select min(obj_id) as from_obj_id, max(obj_id) as upto_obj_id, count(*) as n_objects, (select epoch_us(max(received_at)) from lists) as cut_at_us from unread",
     "p2_found": _PACKS

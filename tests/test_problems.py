@@ -82,6 +82,72 @@ def test_log_takes_each_object_once(spark):
     assert sorted(r[0] for r in log.output().collect()) == [5, 6] and entry["after"] < entry["watermark"]
 
 
+def test_lists_that_come_late_are_taken_once(spark):
+    """After a first run: lists received at the time of its last one, before it, at no time, and one completed later; a failed run between."""
+    log = CommitLog(spark, scratch(spark, "log"))
+    lists = [(1, True, 10), (5, False, 4)]
+    log.take_unread(*tables(spark, [(1, 100), (5, 500)], [(1, 100, 1.0), (5, 500, 1.0)], lists, []))
+    lists = [(1, True, 10), (2, True, 10), (3, True, 5), (4, True, None), (5, True, 4), (6, True, 10)]
+    pairs, meta = [(1, 100), (2, 200), (3, 300), (4, 400), (5, 500), (6, 100)], [(i, 100 * i, 1.0) for i in range(1, 6)] + [(6, 100, 1.0)]
+    later = tables(spark, pairs, meta, lists, [])
+
+    def lost():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        log.take_unread(*later, before_commit=lost)
+    assert [r[0] for r in log.output().collect()] == [100] and len(log.commits()) == 1
+    log.take_unread(*later)
+    assert sorted(r[0] for r in log.output().collect()) == [100, 200, 300, 400, 500]
+    assert sorted(r[0] for r in log.output(1).collect()) == [200, 300, 400, 500]
+    log.take_unread(*later)
+    assert log.output(2).count() == 0
+
+
+def test_log_in_steps_against_brute_force(spark, monkeypatch):
+    from siltstone.operators import incremental
+
+    monkeypatch.setattr(incremental, "MERGE_AT", 2)
+    rnd = random.Random(8)
+    pairs = [(rnd.randrange(12), rnd.randrange(9)) for _ in range(60)]
+    meta = [(a, b, rnd.choice([None, 1.0, 2.0, 3.0, float("nan")])) for a, b in pairs]
+    lists = [(i, True, rnd.choice([None, 1, 5, 9])) for i in range(12)]
+    rnd.shuffle(lists)
+    log, known = CommitLog(spark, scratch(spark, "log")), {}
+    for step in range(1, 5):
+        log.take_unread(*tables(spark, pairs, meta, lists[: 3 * step], []))
+        now = {}
+        for lid, obj in pairs:
+            if lid in {x[0] for x in lists[: 3 * step]}:
+                stamps = [s for a, b, s in meta if (a, b) == (lid, obj) and s is not None and s == s]
+                now[obj] = max(now.get(obj, -1.0), max(stamps, default=0.0))
+        assert {r[0] for r in log.output(step - 1).collect()} == {o for o, v in now.items() if v > known.get(o, -1.0)}
+        known = now
+
+
+def test_rows_at_the_watermark(spark):
+    source = lambda *r: spark.createDataFrame(r, "seq bigint, k string")
+    log = CommitLog(spark, scratch(spark, "log"))
+    log.run(source((1, "a"), (2, "b"), (None, "z")), "seq", key=["k"])
+    log.run(source((1, "a"), (2, "b"), (2, "c"), (2, None)), "seq", key=["k"])
+    assert log.run(source((1, "a"), (2, "b"), (2, "c"), (2, None)), "seq", key=["k"]) is None
+    log.run(source((1, "a"), (2, "b"), (2, "c"), (2, None), (2, "d"), (3, "b")), "seq", key=["k"])
+    assert sorted((r["seq"], r["k"] or "") for r in log.output().collect()) == [(1, "a"), (2, ""), (2, "b"), (2, "c"), (2, "d"), (3, "b")]
+
+
+def test_tiles_cover_every_id_once(spark):
+    from siltstone.operators.incremental import LEAST, MOST, complete_lists, read_tiles
+
+    _, _, lists, runs = tables(spark, [], [], [(1, True, 5), (2, True, 50), (3, True, None)], [(3, 9, 0, 9, True), (5, 6, 0, 9, True), (7, 12, 0, 9, True), (13, 13, 0, 9, True), (20, MOST, 0, 9, True), (LEAST, LEAST, 0, 9, True)])
+    got = {}
+    for r in read_tiles(complete_lists(lists), runs).collect():
+        got.setdefault(r["list_id"], []).append((r["lo"], r["hi"], r["read"]))
+    assert set(got) == {1, 2, 3} and got[2] == got[3] == [(LEAST, MOST, False)]
+    own = sorted(got[1])
+    assert own[0][0] == LEAST and own[-1][1] == MOST and all(a[1] + 1 == b[0] for a, b in zip(own, own[1:]))
+    assert {x for lo, hi, read in own if read and hi - lo < 99 for x in range(lo, hi + 1)} == {LEAST, *range(3, 14)} and (20, MOST, True) in own
+
+
 def test_failed_run_is_repeated_and_races_lose(spark):
     source = spark.range(10).withColumnRenamed("id", "seq")
     log = CommitLog(spark, scratch(spark, "log"))
