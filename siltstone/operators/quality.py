@@ -27,9 +27,9 @@ def newest_reports(packs: DataFrame) -> DataFrame:
     return last.select("attr_id", "load_no", "pack_no", *(f"r.{s}" for s in STATS))
 
 
-def valid_statistics() -> Column:
-    """Whether a pack's statistics can be true; never null."""
-    counts = "no_obj between 1 and {0} and no_nulls between 0 and no_obj".format(PACK_ROWS)
+def valid_statistics(most: int | None = PACK_ROWS) -> Column:
+    """Whether the statistics of a pack, of at most ``most`` rows, can be true; never null."""
+    counts = "no_obj >= 1 and no_nulls between 0 and no_obj" + (f" and no_obj <= {most}" if most else "")
     gone, held = "min_n is null and max_n is null", "min_n is not null and max_n is not null and min_n <= max_n"
     extrema = f"if(pack_type <=> {WHOLE_NUMBER} and no_nulls < no_obj, {held}, {gone})"
     return F.coalesce(F.expr(f"{counts} and {extrema}"), F.lit(False))
@@ -80,7 +80,12 @@ def check_packs(packs: DataFrame) -> DataFrame:
     Nulls in a statistic count as the pack format says; null ids form a group of their own. An empty
     table gives no rows; other columns are ignored. Reports are combined before the shuffle.
     """
-    checked = newest_reports(packs).withColumn("valid", valid_statistics())
+    return check_reports(newest_reports(packs))
+
+
+def check_reports(reports: DataFrame, most: int | None = PACK_ROWS) -> DataFrame:
+    """:func:`check_packs` over chunks that are reported once each, such as those of Parquet footers, with at most ``most`` rows a chunk."""
+    checked = reports.withColumn("valid", valid_statistics(most))
     bad = checked.where("not valid").select(F.lit("pack").alias("kind"), "attr_id", "load_no", "pack_no")
     loads = with_previous(load_profiles(checked)).where(changed_load())
     return bad.unionByName(loads.select(F.lit("load").alias("kind"), "attr_id", "load_no", F.lit(-1).alias("pack_no")))

@@ -12,10 +12,10 @@ from siltstone.operators.changefeed import apply_changes
 from siltstone.operators.dedup import IdentifierIndex, split_copies
 from siltstone.operators.diff import difference_fields, differences
 from siltstone.operators.incremental import CommitLog, last_received, unread_objects
-from siltstone.operators.quality import attribute_profiles, check_packs
+from siltstone.operators.quality import attribute_profiles, check_packs, check_reports
 from siltstone.session import table
 from siltstone.shared import scratch
-from siltstone.sources.footers import profile_columns
+from siltstone.sources.footers import load_reports, profile_columns
 
 #: The command codes of requests.
 PUT, DEL = 1, 2
@@ -71,7 +71,19 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
 def p2_columns(spark: SparkSession, d: str) -> DataFrame:
     """Profile of every column of the pack table itself, from footers and dictionaries."""
     found = profile_columns(spark, f"{d}/msgibrcattrpack.parquet", {"attr_name": "^[a-z]+_[a-z]+$"})
-    return found.select("column_name", "rows", "nulls", "n_distinct", F.when(F.col("column_name").isin("no_nulls", "min_n", "max_n", "no_obj"), F.col("low").cast("bigint")).alias("low"), "violations")
+    return found.select("column_name", "rows", "nulls", "n_distinct", "low", "high", "violations")
+
+
+def p2_loads(spark: SparkSession, d: str) -> DataFrame:
+    """Loads of the orders, four adjoining ranges of their keys, whose columns changed against the load before, from the footers of their files alone."""
+    orders = table(spark, d, "orders")
+    most = orders.agg(F.max("o_orderkey")).first()[0] or 0
+    parted = orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") != "O", F.col("o_totalprice")).alias("settled"), F.expr(f"o_orderkey * 4 div {most + 1}").alias("part"))
+    paths = [scratch(spark, "load") for _ in range(4)]
+    for i, path in enumerate(paths):
+        own = parted.where(F.col("part") == i).drop("part")
+        (own.withColumn("settled", F.coalesce("settled", F.lit(0.0))) if i == 2 else own).write.parquet(path)
+    return check_reports(load_reports(spark, paths), most=None).select("kind", F.col("attr_id").alias("column_name"), "load_no")
 
 
 def _split(spark: SparkSession, d: str, name: str, stamp: str | None) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +112,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return difference_fields(differences(a, b, "key", ["obj_id", "value", "verify"]), "key")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_commits, p1_window, p2_found, p2_profile, p2_columns, p3_found, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_commits, p1_window, p2_found, p2_profile, p2_columns, p2_loads, p3_found, p4_found, p5_found)}
 
 _UNREAD = """
 with lists as (select distinct list_id, received_at from msgcrpairlist where done),
@@ -151,12 +163,19 @@ select attr_id, count(distinct load_no) as loads, count(*) filter (where valid)
 from checked group by 1""",
     "p2_columns": " union all ".join(
         f"select '{c}' as column_name, count(*) as rows, count(*) - count({c}) as nulls, count(distinct {c}) as n_distinct, "
-        + (f"min({c})" if c in ("no_nulls", "min_n", "max_n", "no_obj") else "null::bigint")
-        + " as low, "
+        + ", ".join(f"strftime({e}({c}), '%Y-%m-%d %H:%M:%S.%f') as {n}" if c == "loaded_at" else f"{e}({c})::varchar as {n}" for e, n in (("min", "low"), ("max", "high")))
+        + ", "
         + ("(count(*) filter (where not regexp_matches(attr_name, '^[a-z]+_[a-z]+$')))::bigint" if c == "attr_name" else "null::bigint")
         + " as violations from msgibrcattrpack"
         for c in "table_id attr_id attr_name load_no pack_no pack_type no_obj no_nulls optimal_mode min_n max_n total_size data_full_byte_size ver loaded_at".split()
     ),
+    "p2_loads": """with parted as (select *, o_orderkey * 4 // (max(o_orderkey) over () + 1) + 1 as load_no from orders),
+v as (select load_no, unnest([{'c': 'o_orderkey', 'n': o_orderkey::double, 'i': true}, {'c': 'o_custkey', 'n': o_custkey::double, 'i': true},
+   {'c': 'settled', 'n': case when o_orderstatus <> 'O' then o_totalprice when load_no = 3 then 0 end, 'i': false}]) as x from parted),
+loads as (select x.c as c, load_no, count(*)::hugeint as n, (count(*) - count(x.n))::hugeint as z, min(case when x.i then x.n end)::hugeint as lo, max(case when x.i then x.n end)::hugeint as hi from v group by 1, 2),
+pairs as (select *, lag(n) over w as n0, lag(z) over w as z0, lag(lo) over w as lo0, lag(hi) over w as hi0 from loads window w as (partition by c order by load_no))
+select 'load' as kind, c as column_name, load_no::integer as load_no from pairs where n0 is not null and (abs(z * n0 - z0 * n) * 10 > n * n0
+   or (lo is not null and lo0 is not null and 2 * greatest(least(hi, hi0) - greatest(lo, lo0) + 1, 0) < greatest(hi - lo + 1, hi0 - lo0 + 1)))""",
     "p3_found": """select delivery_id from (select delivery_id, row_number() over (partition by queryid order by "timestamp" nulls last, delivery_id) as rn from msgriakasyncreq where queryid is not null) where rn > 1
 union all select delivery_id from (select delivery_id, row_number() over (partition by queryid order by delivery_id) as rn from msgriakasyncresp where queryid is not null) where rn > 1""",
     "p4_found": """with kept as (select * from (select *, row_number() over (partition by queryid order by "timestamp" nulls last, delivery_id) as rn from msgriakasyncreq) where rn = 1 or queryid is null),

@@ -216,6 +216,49 @@ def test_profiles_of_files(spark, tmp_path):
     assert [r["column_name"] for r in compare_profiles(p, moved).where("changed").collect()] == ["a"]
 
 
+def test_extrema_are_compared_as_what_they_are(spark, tmp_path):
+    import datetime
+    from decimal import Decimal
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from siltstone.sources.footers import chunk_statistics, profile_columns
+
+    t = pa.table(
+        {
+            "d": pa.array([Decimal("9.5"), Decimal("10.0"), Decimal("-100.5"), None], pa.decimal128(5, 1)),
+            "wide": pa.array([Decimal(-(10**30)), Decimal(9), Decimal(10**30), Decimal(0)], pa.decimal128(38, 0)),
+            "n": [-9007199254740993, -9007199254740992, 10, 9],
+            "u": pa.array([2**64 - 1, 2**64 - 2, 5, 10], pa.uint64()),
+            "s": ["b", "a", "é", "Z"],
+            "f": [9.5, 10.0, float("nan"), -1.0],
+            "t": pa.array([-1, 5, 10**15, 9], pa.timestamp("us")),
+            "day": pa.array([-1, 5, 9, 10], pa.date32()),
+            "raw": pa.array([b"\xff", b"\x00", b"\x10", None], pa.binary()),
+            "yes": [True, False, None, True],
+        }
+    )
+    (tmp_path / "t").mkdir()
+    pq.write_table(t, tmp_path / "t" / "a.parquet", row_group_size=1)
+    pq.write_table(t.slice(0, 2), tmp_path / "t" / "b.parquet", write_statistics=False)
+    chunks = chunk_statistics(spark, str(tmp_path / "t"))
+    assert chunks.rdd.getNumPartitions() == 5 and chunks.count() == 50
+    got = {r["column_name"]: (r["low"], r["high"]) for r in profile_columns(spark, str(tmp_path / "t")).collect()}
+    moment = lambda us: (datetime.datetime(1970, 1, 1) + datetime.timedelta(microseconds=us)).isoformat(" ", "microseconds")
+    assert got == {
+        "d": ("-100.5", "10.0"), "wide": (str(-(10**30)), str(10**30)), "n": ("-9007199254740993", "10"), "u": ("5", str(2**64 - 1)), "s": ("Z", "é"),
+        "f": ("-1.0", "10.0"), "t": (moment(-1), moment(10**15)), "day": ("1969-12-31", "1970-01-11"), "raw": ("00", "ff"), "yes": ("False", "True"),
+    }
+    assert {r["column_name"]: r["n_distinct"] for r in profile_columns(spark, str(tmp_path / "t"), approximate=True).collect()}["n"] == 4
+    pq.write_table(pa.table({"n": pa.array([3], pa.int32()), "s": pa.array([1], pa.int64())}), tmp_path / "c.parquet")
+    from siltstone.sources.footers import column_profiles
+
+    mixed = chunks.unionByName(chunk_statistics(spark, str(tmp_path / "c.parquet")))
+    got = {r["column_name"]: (r["low"], r["high"]) for r in column_profiles(mixed).collect()}
+    assert got["n"] == ("-9007199254740993", "10") and got["s"] == (None, None)
+
+
 def test_dictionaries_against_the_data(tmp_path):
     import numpy as np
     import pyarrow as pa
