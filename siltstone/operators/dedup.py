@@ -3,14 +3,15 @@
 The identifiers held so far are an index: immutable runs, each a table of sorted identifier
 arrays split by hash prefix. A batch is first reduced to one row per identifier, then looked
 up by binary search in the arrays of its prefixes; what is new, or better than the copy held,
-becomes a new run. Runs are merged from time to time.
+becomes a new run, with prefixes as fine as its own size asks for. Runs are merged from time to time, which splits
+prefixes again.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -22,27 +23,36 @@ from siltstone.shared import unused
 
 #: Identifiers of one prefix that a task holds in memory at a time (24 bytes each).
 PER_PREFIX = 1_000_000
+#: Most bits of a prefix: the folders of a run.
+MOST_BITS = 18
 
 
-def _probe(runs: list[str]):
-    """A mapInArrow function adding (held_stamp, held_row) to rows sorted by prefix; null where the identifier is new."""
+def _prefix(bits: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64("id"), 64 - bits).cast("int") if bits else F.lit(0)
 
-    def arrays(prefix: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+
+def _probe(runs: Sequence[tuple[str, int]], fine: int):
+    """A mapInArrow function adding (held_stamp, held_row) to rows sorted by prefix of ``fine`` bits; null where the identifier is new.
+
+    Each of the ``runs`` (path, bits) has its own, coarser prefixes; its arrays stay in memory as long as the rows fall in one.
+    """
+
+    def arrays(run: str, prefix: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         import pyarrow.parquet as pq
         from pyarrow import fs
 
         found = []
-        for run in runs:
-            system, root = fs.FileSystem.from_uri(run)
-            for info in system.get_file_info(fs.FileSelector(f"{root}/prefix={prefix}", allow_not_found=True)):
-                if info.base_name.endswith(".parquet"):
-                    with system.open_input_file(info.path) as file:
-                        t = pq.ParquetFile(file).read(columns=["id", "stamp", "row"])
-                    found.append(tuple(t[c].to_numpy() for c in ("id", "stamp", "row")))
+        system, root = fs.FileSystem.from_uri(run)
+        for info in system.get_file_info(fs.FileSelector(f"{root}/prefix={prefix}", allow_not_found=True)):
+            if info.base_name.endswith(".parquet"):
+                with system.open_input_file(info.path) as file:
+                    t = pq.ParquetFile(file).read(columns=["id", "stamp", "row"])
+                found.append(tuple(t[c].to_numpy() for c in ("id", "stamp", "row")))
         return found
 
     def run_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at: list[int | None] = [None] * len(runs)
+        held: list[list] = [[] for _ in runs]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -51,9 +61,11 @@ def _probe(runs: list[str]):
             hit = np.zeros(len(ids), bool)
             edges = np.flatnonzero(np.r_[True, prefixes[1:] != prefixes[:-1], True])
             for a, b in zip(edges[:-1], edges[1:]):
-                if prefixes[a] != at:
-                    at, held = prefixes[a], arrays(int(prefixes[a]))
-                for known, stamps, rows in held:
+                for i, (run, bits) in enumerate(runs):
+                    coarse = int(prefixes[a]) >> (fine - bits)
+                    if coarse != at[i]:
+                        at[i], held[i] = coarse, arrays(run, coarse)
+                for known, stamps, rows in (x for own in held for x in own):
                     if not len(known):
                         continue
                     place = np.minimum(np.searchsorted(known, ids[a:b]), len(known) - 1)
@@ -71,8 +83,8 @@ class IdentifierIndex:
     """The identifiers seen so far with the copy kept of each: the one with the least (stamp, row).
 
     Batches are DataFrames with the columns id (integer or string, not null), stamp (double; null,
-    NaN and infinite are the last) and row (bigint, unique). The number of prefixes is fixed by the
-    first batch so that ``per_prefix`` identifiers share one, with room to grow.
+    NaN and infinite are the last) and row (bigint, unique). The prefixes of a run follow its own number of
+    identifiers, so that about ``per_prefix`` of them share one, whatever the first batch was like.
     """
 
     def __init__(self, spark: SparkSession, folder: str, merge_at: int = 8, per_prefix: int = PER_PREFIX):
@@ -81,16 +93,21 @@ class IdentifierIndex:
 
     def _state(self) -> dict:
         entries = self._manifest.entries()
-        return entries[-1] if entries else {"n": -1, "bits": None, "kind": None, "runs": [], "batches": []}
+        return {**(entries[-1] if entries else {"kind": None, "runs": []}), "n": len(entries), "batches": {e["batch"] for e in entries}}
+
+    def _bits(self, n: int) -> int:
+        return max(0, min(MOST_BITS, math.ceil(math.log2(max(1, n / self.per_prefix)))))
 
-    @staticmethod
-    def _prefix(bits: int) -> Column:
-        return F.shiftrightunsigned(F.xxhash64("id"), 64 - bits).cast("int")
+    def _arranged(self, entries: DataFrame, bits: int) -> DataFrame:
+        """The rows in adjoining ranges of prefixes, at least four a core, each sorted by prefix and identifier."""
+        tasks = max(4 * self.spark.sparkContext.defaultParallelism, min(2**bits, 65536))
+        place = F.shiftrightunsigned(F.shiftrightunsigned(F.xxhash64("id"), 32) * F.lit(tasks), 32).cast("int")
+        return entries.withColumn("prefix", _prefix(bits)).withColumn("__p", place).repartitionById(tasks, "__p").drop("__p").sortWithinPartitions("prefix", "id")
 
     def _write(self, entries: DataFrame, bits: int) -> str:
+        """A run; a prefix spread over several tasks has as many sorted arrays, in a file each."""
         path = f"{self.folder}/runs/{uuid.uuid4().hex}"
-        files = entries.select("prefix", "id", "stamp", "row").repartition("prefix").sortWithinPartitions("prefix", "id")
-        files.write.partitionBy("prefix").parquet(path)
+        self._arranged(entries, bits).select("prefix", "id", "stamp", "row").write.partitionBy("prefix").parquet(path)
         return path
 
     def ingest(self, batch: DataFrame, name: str) -> None:
@@ -98,42 +115,45 @@ class IdentifierIndex:
         state = self._state()
         if name in state["batches"]:
             return
-        bits = state["bits"] or max(3, min(18, math.ceil(math.log2(max(1, 4 * batch.count() / self.per_prefix)))))
+        bits = self._bits(batch.count())
         stamp = F.when(F.isnan("stamp") | F.col("stamp").isNull(), F.lit(float("inf"))).otherwise(F.col("stamp"))
-        first = batch.select("id", F.struct(stamp.alias("stamp"), "row").alias("copy")).groupBy("id").agg(F.min("copy").alias("copy"))
-        first = first.select(self._prefix(bits).alias("prefix"), "id", "copy.stamp", "copy.row")
+        first = batch.select("id", F.struct(stamp.alias("stamp"), "row").alias("copy")).groupBy("id").agg(F.min("copy").alias("copy")).select("id", "copy.stamp", "copy.row")
         kind = first.schema["id"].dataType.simpleString()
         if state["runs"]:
-            shape = f"prefix int, id {kind}, stamp double, row bigint, held_stamp double, held_row bigint"
-            seen = first.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_probe(state["runs"]), shape)
-            first = seen.where("held_row is null or stamp < held_stamp or (stamp = held_stamp and row < held_row)").drop("held_stamp", "held_row")
-        runs = [*state["runs"], self._write(first, bits)]
-        self._manifest.add(state["n"] + 1, {"n": state["n"] + 1, "bits": bits, "kind": kind, "runs": runs, "batches": [*state["batches"], name]})
+            runs = [(r["path"], r["bits"]) for r in state["runs"]]
+            fine = max(bits, *(b for _, b in runs))
+            shape = f"id {kind}, stamp double, row bigint, prefix int, held_stamp double, held_row bigint"
+            seen = self._arranged(first, fine).select("id", "stamp", "row", "prefix").mapInArrow(_probe(runs, fine), shape)
+            first = seen.where("held_row is null or stamp < held_stamp or (stamp = held_stamp and row < held_row)").select("id", "stamp", "row")
+        runs = [*state["runs"], {"path": self._write(first, bits), "bits": bits}]
+        self._manifest.add(state["n"], {"kind": kind, "runs": runs, "batch": name})
         if len(runs) >= self.merge_at:
             self.merge()
 
-    def _entries(self, runs: list[str], kind: str) -> DataFrame:
-        parts = [self.spark.read.schema(f"id {kind}, stamp double, row bigint, prefix int").parquet(r) for r in runs]  # a run may be empty
+    def _entries(self, runs: list[dict], kind: str) -> DataFrame:
+        parts = [self.spark.read.schema(f"id {kind}, stamp double, row bigint").parquet(r["path"]).select("id", "stamp", "row") for r in runs]  # a run may be empty
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        return df.select("prefix", "id", "stamp", "row")
+        return df
 
     def merge(self) -> None:
-        """Merge all runs into one; of an identifier in several the least copy stays."""
+        """Merge all runs into one; of an identifier in several the least copy stays. Prefixes are split as its size asks for."""
         state = self._state()
         if len(state["runs"]) < 2:
             return
-        best = self._entries(state["runs"], state["kind"]).groupBy("prefix", "id").agg(F.min(F.struct("stamp", "row")).alias("copy"))
-        run = self._write(best.select("prefix", "id", "copy.stamp", "copy.row"), state["bits"])
-        self._manifest.add(state["n"] + 1, {**state, "n": state["n"] + 1, "runs": [run]})
+        entries = self._entries(state["runs"], state["kind"])
+        bits = self._bits(entries.count())  # from footers
+        best = entries.groupBy("id").agg(F.min(F.struct("stamp", "row")).alias("copy")).select("id", "copy.stamp", "copy.row")
+        run = {"path": self._write(best, bits), "bits": bits}
+        self._manifest.add(state["n"], {"kind": state["kind"], "runs": [run], "batch": None})
 
     def vacuum(self) -> None:
         """Delete the runs that merging has replaced; call it when nothing reads them any more."""
         jvm = self.spark.sparkContext._jvm
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/runs")
         files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        live = {r.rsplit("/", 1)[1] for r in self._state()["runs"]}
+        live = {r["path"].rsplit("/", 1)[1] for r in self._state()["runs"]}
         for status in files.listStatus(folder):
             if status.getPath().getName() not in live:
                 files.delete(status.getPath(), True)
@@ -146,7 +166,7 @@ class IdentifierIndex:
             return self.spark.createDataFrame([], "id bigint, stamp double, row bigint")
         entries = self._entries(runs, state["kind"])
         if len(runs) == 1:
-            return entries.drop("prefix")
+            return entries
         return entries.groupBy("id").agg(F.min(F.struct("stamp", "row")).alias("copy")).select("id", "copy.stamp", "copy.row")
 
 

@@ -334,6 +334,26 @@ def test_index_keeps_the_best_over_batches(spark):
     assert {(r["id"], r["row"]) for r in index.kept().collect()} == want
 
 
+def test_prefixes_grow_with_the_index(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    index = IdentifierIndex(spark, scratch(spark, "index"), per_prefix=1000)
+    rows = lambda n, shift: spark.range(n).selectExpr("id * 7 as id", "cast(1 as double) as stamp", f"id + {shift} as row")
+    index.ingest(rows(10, 0), "1")
+    index.ingest(rows(40_000, 100), "2")
+    index.ingest(rows(50_000, 1_000_000), "3")
+    index.merge()
+    run = index._state()["runs"][0]
+    sizes = [sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{p}/*.parquet")) for p in glob.glob(run["path"].removeprefix("file:") + "/prefix=*")]
+    assert run["bits"] == 7 and len(sizes) == 128 and sum(sizes) == 50_000 and max(sizes) < 1000
+    kept = {r["id"]: r["row"] for r in index.kept().collect()}
+    assert kept == {7 * i: i if i < 10 else i + 100 if i < 40_000 else i + 1_000_000 for i in range(50_000)}
+    seen = index._arranged(rows(100, 0), 7)
+    assert seen.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_copies_of_an_empty_table(spark):
     kept, dropped = split_copies(spark.createDataFrame([], MESSAGE), IdentifierIndex(spark, scratch(spark, "index")), "queryid", "delivery_id", "timestamp", "batch_id")
     assert kept.count() == dropped.count() == 0
