@@ -102,7 +102,7 @@ class IdentifierIndex:
         """The rows in adjoining ranges of prefixes, at least four a core, each sorted by prefix and identifier."""
         tasks = max(4 * self.spark.sparkContext.defaultParallelism, min(2**bits, 65536))
         place = F.shiftrightunsigned(F.shiftrightunsigned(F.xxhash64("id"), 32) * F.lit(tasks), 32).cast("int")
-        return entries.withColumn("prefix", _prefix(bits)).withColumn("__p", place).repartitionById(tasks, "__p").drop("__p").sortWithinPartitions("prefix", "id")
+        return entries.repartitionById(tasks, place).withColumn("prefix", _prefix(bits)).sortWithinPartitions("prefix", "id")
 
     def _write(self, entries: DataFrame, bits: int) -> str:
         """A run; a prefix spread over several tasks has as many sorted arrays, in a file each."""
