@@ -347,7 +347,7 @@ def test_prefixes_grow_with_the_index(spark):
     index.merge()
     run = index._state()["runs"][0]
     sizes = [sum(pq.read_metadata(f).num_rows for f in glob.glob(f"{p}/*.parquet")) for p in glob.glob(run["path"].removeprefix("file:") + "/prefix=*")]
-    assert run["bits"] == 7 and len(sizes) == 128 and sum(sizes) == 50_000 and max(sizes) < 1000
+    assert run["bits"] == 6 and len(sizes) == 64 and sum(sizes) == 50_000 and max(sizes) < 1000
     kept = {r["id"]: r["row"] for r in index.kept().collect()}
     assert kept == {7 * i: i if i < 10 else i + 100 if i < 40_000 else i + 1_000_000 for i in range(50_000)}
     seen = index._arranged(rows(100, 0), 7)
@@ -385,6 +385,13 @@ def test_differences(spark):
     assert got == {("2", "v"), ("3", "n"), (None, "n"), ("4", "only_b"), ("5", "only_a"), ("6", "*"), ("7", "v")}
     trimmed = differences(a, b, "key", ["v"], lambda _, c: F.rtrim(c))
     assert "7" not in {r["key"] for r in trimmed.collect()}
+    both = spark.createDataFrame([("k", str(i), 1, "") for i in range(50) for _ in range(2)], shape)
+    for gone in range(0, 50, 7):  # of many rows of one key any may be missing
+        assert [tuple(r) for r in difference_fields(differences(both, both.where(f"v <> '{gone}'"), "key", ["v", "n"]), "key").collect()] in ([("k", "*")], [("k", "v")])
+    assert differences(both, both.distinct(), "key", ["v", "n"]).count() == 0
+    for kind, x, y in (("bigint", 0, 7), ("date", "1970-01-01", "1971-01-01"), ("boolean", "true", "false"), ("array<int>", None, None), ("double", 0, 1)):
+        one, other = (spark.createDataFrame([(v, 1), (None, i)], "key string, n int").selectExpr(f"cast(key as {kind}) as key" if kind != "array<int>" else "array(n) as key", "n") for i, v in ((1, str(x)), (2, str(y))))
+        assert len(difference_fields(differences(one, other, "key", ["n"]), "key").collect()) == (3 if kind != "array<int>" else 1), kind
     values = {r["key"]: r["differences"] for r in differences(a, b, "key", ["v"]).where("side is null").collect()}
     assert tuple(values["2"][0]) == ("v", None, "")
     assert differences(a.limit(0), b.limit(0), "key", ["v"]).count() == 0
