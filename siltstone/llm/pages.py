@@ -9,7 +9,8 @@ is applied to, and how, depends on no size.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from siltstone.llm.charsets import GONE, undone
 
 #: Most labelled pages that the model is fitted to, taken by the hash of their id.
 SAMPLE = 3000
-#: Words of a piece; a Han, kana or Hangul character counts as half a word.
+#: Words of a piece; a Han or kana character counts as half a word.
 PIECE = 10
 #: Pages held at a time by a task.
 SLICE = 256
@@ -48,42 +49,71 @@ FUNCTION_WORDS = {
 }
 GLUE = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
 
-WIDE = "぀-ヿ㐀-鿿가-힯"
+#: Characters that are words' parts by themselves (kana, Han), and scripts without spaces between words, whose runs count by length.
+WIDE, UNSPACED = "\u3040-\u30ff\u3400-\u9fff", "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+#: Characters of a word of such a run; Han and kana count as half a word.
+RUN = 5
+
+
+def _class(test: Callable[[str], bool]) -> str:
+    """The characters of the basic plane that pass a test, as ranges of a regular expression."""
+    apart = re.compile(f"[{WIDE}{UNSPACED}]")
+    points = np.array([i for i in range(0x80, 0xD800) if test(chr(i)) and not apart.match(chr(i))])
+    edge = np.flatnonzero(np.diff(points) > 1)
+    first, last = points[np.r_[0, edge + 1]], points[np.r_[edge, -1]]
+    return "".join(f"\\u{i:04x}-\\u{j:04x}" for i, j in zip(first, last))
+
+
+#: Letters of the other scripts, and the marks and joiners within their words.
+LETTERS = "A-Za-z" + _class(lambda c: c.isalnum() and not c.isdecimal()) + "\\uf900-\\ufdff\\ufe70-\\uffef\\U00010000-\\U0001cfff\\U00020000-\\U000323af"
+MARKS = _class(lambda c: unicodedata.category(c)[0] == "M") + "\\u200c\\u200d"
+#: Scripts whose function words are known; in others their lack tells nothing.
+SCRIPTS = frozenset(unicodedata.name(c, "").split(" ")[0] for w in GLUE for c in w if c.isalpha())
 #: Units of amounts, sizes of goods, words that URLs and joined hash tags count for.
 UNITS, SIZES = "ml|kg|mm|cm|g|x|EL", frozenset(("S", "M", "L", "XL", "XXL"))
 URL_WORDS, HASH_WORDS = 3, 2
-TOKEN = re.compile(rf"\n|https?://\S+|[A-Za-z0-9+/=]{{30,}}|#\w[\w-]*|[{WIDE}]|\d[\d.,]*[ ]?(?:{UNITS})\b|[A-Z]{{2,}}-?\d+|[^\W\d_{WIDE}]+(?:['’][^\W\d_{WIDE}]+)*|\d[\d.,:]*|[^\w\s]")
-ENDERS, SEPARATORS = frozenset(".!?。？！؟…"), frozenset("|-–—»«·/,+*;>•~›،、")
+_WORD = f"[{LETTERS}][{LETTERS}{MARKS}]*"
+TOKEN = re.compile(rf"\n|https?://\S+|[A-Za-z0-9+/=]{{30,}}|#\w[\w-]*|[{WIDE}]|[{UNSPACED}]+|\d[\d.,]*[ ]?(?:{UNITS})\b|[A-Z]{{2,}}-?\d+|{_WORD}(?:['’]{_WORD})*|\d[\d.,:]*|[^\w\s]")
+ENDERS, SEPARATORS = frozenset(".!?。？！؟…।॥۔։።។။"), frozenset("|-–—»«·/,+*;>•~›،、")
 
 BREAK, WORD, URL, HASH, CODE, NUMBER, TIME, ENDER, SEPARATOR, OTHER = range(10)
-#: Bins of each feature.
+#: Bins of each feature; a symbol for a feature that tells nothing.
 BINS = 5
+MISSING = BINS
 FEATURES = 11
 
 
-def _kind(t: str) -> tuple[int, float, bool, bool, bool]:
-    """(kind, words, glue, capitalised, upper) of a token."""
+def _foreign(c: str) -> bool:
+    """Whether a letter's script has no known function words."""
+    return not "\u3040" <= c <= "\u9fff" and unicodedata.name(c, "").split(" ")[0] not in SCRIPTS
+
+
+def _kind(t: str) -> tuple[int, float, bool, bool, bool, bool]:
+    """(kind, words, glue, capitalised, upper, foreign) of a token."""
     c = t[0]
+    plain = (False, False, False, False)
     if c == "\n":
-        return BREAK, 0, False, False, False
+        return BREAK, 0, *plain
     if t.startswith("http") and "://" in t:
-        return URL, URL_WORDS, False, False, False
+        return URL, URL_WORDS, *plain
     if len(t) >= 30 and t.isascii() and not t.isalpha():  # an unbroken run, no word
-        return OTHER, 0, False, False, False
+        return OTHER, 0, *plain
     if c == "#" and len(t) > 1:
-        return HASH, HASH_WORDS, False, False, False
+        return HASH, HASH_WORDS, *plain
     if c.isdigit():
         if t[-1] == "." and len(t) <= 4 and t[:-1].isdigit():  # the number of a list's entry
-            return SEPARATOR, 0, False, False, False
-        return TIME if ":" in t.rstrip(":") or t[-1].isalpha() else NUMBER, 1, False, False, False
+            return SEPARATOR, 0, *plain
+        return TIME if ":" in t.rstrip(":") or t[-1].isalpha() else NUMBER, 1, *plain
+    if re.match(f"[{UNSPACED}]", c):
+        return (WORD, len(t) / RUN, False, False, False, True) if any(map(str.isalpha, t)) else (OTHER, 0, *plain)
     if c.isalpha():
         if t[-1].isdigit() or t in SIZES:
-            return CODE, 1, False, False, False
+            return CODE, 1, *plain
         low = t.lower()
         if low not in GLUE and all("\x80" <= ch < "ɐ" or "｡" <= ch <= "ﾟ" for ch in low):  # what a wrong charset leaves
-            return OTHER, 0, False, False, False
-        return WORD, 0.5 if "぀" <= c <= "힯" else 1, low in GLUE, c.isupper() and len(t) > 1 and not t.isupper(), t.isupper() and len(t) > 2
-    return (ENDER if c in ENDERS else SEPARATOR if c in SEPARATORS else OTHER), 0, False, False, False
+            return OTHER, 0, *plain
+        return WORD, 0.5 if "\u3040" <= c <= "\u9fff" else 1, low in GLUE, c.isupper() and len(t) > 1 and not t.isupper(), t.isupper() and len(t) > 2, _foreign(c)
+    return ENDER if c in ENDERS else SEPARATOR if c in SEPARATORS else OTHER, 0, *plain
 
 
 @dataclass
@@ -111,7 +141,7 @@ def pieces(texts: list[str | None]) -> Pieces:
     traits = [_kind(t) for t in unique]
     kind = np.array([t[0] for t in traits], np.int8)[codes]
     weight = np.array([t[1] for t in traits])[codes]
-    glue, cap, upper = (np.array([t[i] for t in traits])[codes] for i in (2, 3, 4))
+    glue, cap, upper, foreign = (np.array([t[i] for t in traits])[codes] for i in (2, 3, 4, 5))
     folded = pd.factorize(np.array([t.lower() for t in unique], object))[0][codes]
     page = np.repeat(np.arange(len(texts)), sizes)
 
@@ -123,7 +153,7 @@ def pieces(texts: list[str | None]) -> Pieces:
     within = (running - weight - start[line]) // PIECE
     gone = np.array([t == GONE for t in unique])[codes]
     keep = kind != BREAK
-    kind, weight, glue, cap, upper, folded, page, line, within, gone = (x[keep] for x in (kind, weight, glue, cap, upper, folded, page, line, within, gone))
+    kind, weight, glue, cap, upper, foreign, folded, page, line, within, gone = (x[keep] for x in (kind, weight, glue, cap, upper, foreign, folded, page, line, within, gone))
     if not len(kind):
         return Pieces(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FEATURES), np.int8), np.zeros(0))
     first = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (within[1:] != within[:-1])])
@@ -132,6 +162,7 @@ def pieces(texts: list[str | None]) -> Pieces:
 
     # how often a word stands on its page
     total = np.bincount(page, weight, len(texts))
+    unknown = np.bincount(page, weight * foreign, len(texts)) * 2 > total
     key = page * (int(folded.max()) + 1) + folded
     _, back, count = np.unique(key, return_inverse=True, return_counts=True)
     plain = (kind == WORD) & ~glue
@@ -151,7 +182,7 @@ def pieces(texts: list[str | None]) -> Pieces:
     numbers = add((kind == NUMBER) | (kind == TIME)) / safe
     symbols = np.stack(
         [
-            _binned(add(glue * weight) / safe, 0, 0.12, 0.25),
+            np.where(unknown[at_page], MISSING, _binned(add(glue * weight) / safe, 0, 0.12, 0.25)).astype(np.int8),
             _binned(add(kind == SEPARATOR) / safe, 0, 0.25, 0.6),
             special.astype(np.int8),
             _binned(add(again) / np.maximum(add(plain * weight), 0.5), 0.015, 0.04, 0.1),
@@ -173,12 +204,13 @@ def seeds(symbols: np.ndarray) -> np.ndarray:
     """First guess of each piece's state, or -1."""
     glue, sep, special, again, number, _, ends, place, _, _, _ = symbols.T
     guess = np.full(len(symbols), -1)
-    guess[glue >= 2] = PROSE
+    guess[(glue >= 2) & (glue != MISSING)] = PROSE
     bare = glue == 0
     guess[bare & (number >= 2)] = RECORD
     guess[bare & (number <= 1) & ((again >= 2) | (sep >= 2)) & (place == 3)] = TAG
-    guess[(special == 1) & (glue <= 1)] = LINK
-    guess[((special == 2) | (special == 3)) & (glue <= 1)] = TAG
+    few = (glue <= 1) | (glue == MISSING)
+    guess[(special == 1) & few] = LINK
+    guess[((special == 2) | (special == 3)) & few] = TAG
     guess[bare & (special == 4)] = RECORD
     guess[bare & (place <= 1) & (special == 0) & (again <= 1) & (number == 0) & (ends == 0)] = MENU
     return guess
@@ -268,8 +300,8 @@ def _expected(model: Model, p: Pieces, bias: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _emissions(weight: np.ndarray, symbols: np.ndarray, prior: float = 2.0) -> np.ndarray:
-    counts = np.stack([np.stack([np.bincount(symbols[:, f], weight[:, s], BINS) for s in range(5)]) for f in range(FEATURES)]) + prior
-    return np.log(counts / counts.sum(2, keepdims=True))
+    counts = np.stack([np.stack([np.bincount(symbols[:, f], weight[:, s], BINS + 1)[:BINS] for s in range(5)]) for f in range(FEATURES)]) + prior
+    return np.concatenate([np.log(counts / counts.sum(2, keepdims=True)), np.zeros((FEATURES, 5, 1))], 2)  # a missing feature weighs alike in every state
 
 
 def listed(states: np.ndarray, p: Pieces, pages: int) -> tuple[np.ndarray, np.ndarray]:
@@ -357,13 +389,13 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     """A model fitted to at most ``sample`` of the pages that ``labels`` (doc_id, stuffed) knows.
 
     Raters vote; ties, nulls and ids without page don't count. Pages are taken by the hash of their
-    id. Without any label the model is fitted to a tenth as many pages as they are.
+    id. Without any label the model is fitted to as many pages as they are.
     """
     votes = labels.where("stuffed is not null").groupBy("doc_id").agg(F.avg("stuffed").alias("vote")).where("vote <> 0.5")
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     voted = {r["doc_id"]: r["vote"] > 0.5 for r in chosen.collect()}  # at most sample rows
     if not voted:
-        p, _ = sample_pieces(documents.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, sample // 10)))
+        p, _ = sample_pieces(documents.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
         return fit(p, None)
     p, ids = sample_pieces(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi"))
     return fit(p, np.array([voted[i] for i in ids], bool))

@@ -13,11 +13,12 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-#: Texts encoded at a time.
-SLICE = 256
+#: Texts and bytes encoded at a time.
+SLICE, SLICE_BYTES = 256, 4_000_000
 
 
 @lru_cache(maxsize=4)
@@ -84,10 +85,16 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def _encoded(column: pa.Array, path: str) -> Iterator[tuple[int, list[str], list]]:
+    """(first row, texts, encodings) of slices of a column, by number and by size, so that few long texts are held at a time."""
     t = tokenizer(path)
-    for at in range(0, len(column), SLICE):
-        texts = _texts(column.slice(at, SLICE))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        after = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES))
+        after = min(max(after, at + 1), at + SLICE, len(column))
+        texts = _texts(column.slice(at, after - at))
         yield at, texts, t.encode_batch_fast(texts, add_special_tokens=False)
+        at = after
 
 
 def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -101,7 +108,7 @@ def encode(documents: DataFrame, id_column: str = "doc_id", text_column: str = "
             for at, texts, found in _encoded(batch["t"], path):
                 lists = [e.ids for e in found]
                 offsets = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-                flat = np.fromiter((i for ids in lists for i in ids), np.int32, offsets[-1])
+                flat = np.concatenate([np.zeros(0, np.int32), *(np.array(ids, np.int32) for ids in lists)])
                 yield pa.RecordBatch.from_arrays([batch["i"].slice(at, len(texts)), pa.ListArray.from_arrays(offsets, flat)], names=[id_column, "ids"])
 
     kind = documents.schema[id_column].dataType.simpleString()
@@ -135,5 +142,23 @@ def round_trip(documents: DataFrame, id_column: str = "doc_id", text_column: str
     return documents.selectExpr(f"`{id_column}` as i", f"`{text_column}` as t").mapInArrow(run, f"`{id_column}` {kind}, n_tokens bigint, n_split bigint, same boolean")
 
 
+def offsets(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """(id, first, after, split): of each row's token ids, in their order, the code points [first, after) that each touches and whether it begins inside a character.
+
+    Null and empty texts have empty lists.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts, found in _encoded(batch["t"], path):
+                parts = [spans(t, e.ids, path) for t, e in zip(texts, found)]
+                edges = np.cumsum([0, *(len(p[0]) for p in parts)], dtype=np.int32)
+                lists = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([np.zeros(0, k), *(p[i].astype(k) for p in parts)]))) for i, k in enumerate((np.int32, np.int32, bool))]
+                yield pa.RecordBatch.from_arrays([batch["i"].slice(at, len(texts)), *lists], names=[id_column, "first", "after", "split"])
+
+    kind = documents.schema[id_column].dataType.simpleString()
+    return documents.selectExpr(f"`{id_column}` as i", f"`{text_column}` as t").mapInArrow(run, f"`{id_column}` {kind}, first array<int>, after array<int>, split array<boolean>")
+
+
 def vocabulary_exists(path: str = VOCABULARY) -> bool:
     return Path(path).exists()

@@ -91,5 +91,47 @@ def test_refused_containers(spark):
     sized = spark.createDataFrame([(1, 1)], "doc_id bigint, n_tokens bigint")
     with pytest.raises(ValueError):
         pack(sized, spark.createDataFrame([("a", 1), ("a", 2)], "container string, capacity int"))
-    with pytest.raises(ValueError):
-        pack(sized, spark.createDataFrame([("a", 5_000_000)], "container string, capacity int"))
+
+
+def test_any_number_and_size_of_containers(spark):
+    sized = spark.createDataFrame([(i, 1 + i % 7) for i in range(50)] + [(99, 6_000_000)], "doc_id bigint, n_tokens bigint")
+    limits = [(f"c{i:02d}", 7 + i) for i in range(12)] + [("large", 5_000_000)]
+    found = pack(sized.where("doc_id < 99"), spark.createDataFrame(limits[:12], "container string, capacity int")).groupBy("container").sum("fill").collect()
+    total = sum(1 + i % 7 for i in range(50))
+    assert sorted((r[0], r[1]) for r in found) == [(n, total) for n, _ in limits[:12]]
+    large = pack(sized, spark.createDataFrame(limits[12:], "container string, capacity int")).collect()
+    assert sorted(b["fill"] for b in large) == [1_000_000 + total, 5_000_000]
+
+
+def test_plan_of_many_lengths():
+    """The work grows about with the number of lengths: a hundred thousand of them take no minute, and fill about as well as best fit alone."""
+    import time
+
+    from siltstone.llm.packing import Stock, _best_fit, plan_kinds, runs
+
+    rnd = np.random.default_rng(0)
+    histogram = {int(n): int(rnd.integers(1, 50)) for n in rnd.choice(np.arange(1, 131073), 100_000, replace=False)}
+    began = time.process_time()
+    kinds = plan_kinds(histogram, 131072)
+    assert time.process_time() - began < 60
+    used = Counter()
+    for times, items in kinds:
+        assert times > 0
+        for n, k in runs(items):
+            used[n] += times * k
+    assert used == Counter(histogram)
+    assert sum(t for t, _ in kinds) <= 1.0001 * sum(t for t, _ in _best_fit([], Stock(histogram, 1), 131072))
+
+
+def test_ordered_set():
+    from siltstone.llm.packing import Ordered
+
+    rnd = random.Random(3)
+    held, own = set(), Ordered()
+    for _ in range(3000):
+        x = rnd.choice([rnd.randrange(20), rnd.randrange(20000), 4095, 4096])
+        held.add(x) if rnd.random() < 0.6 else held.discard(x)
+        own.add(x) if x in held else own.discard(x)
+        y = rnd.randrange(20000)
+        assert own.up(y) == min((h for h in held if h >= y), default=None) and own.down(y) == max((h for h in held if h <= y), default=None)
+    assert own.down(-1) is None
