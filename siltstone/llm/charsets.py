@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 
 #: Charsets that texts were decoded by falsely, and those that they were written in.
@@ -32,21 +33,28 @@ def _solid(text: str) -> int:
     return sum(map(len, text.split()))
 
 
-def _bytes(text: str, charset: str, lost: bytes) -> tuple[bytes, int]:
-    """The bytes that ``charset`` made the text of, and how many characters it lacks; U+FFFD was a byte that is lost."""
-    try:
-        return lost.join(part.encode(charset) for part in text.split(GONE)), 0
-    except UnicodeEncodeError:
-        pass
-    out, lacked = [], 0
-    for c in text:
-        try:
-            out.append(lost if c == GONE else c.encode(charset))
-        except UnicodeEncodeError:
+class _Lacking:
+    """Error handler of encodings: puts ``lost`` for what a charset lacks and counts it, but for U+FFFD, which was a byte that is lost."""
+
+    lost, count = b"", 0
+
+    def __call__(self, error: UnicodeEncodeError) -> tuple[bytes, int]:
+        out = b""
+        for c in error.object[error.start : error.end]:
             kept = "\x80" <= c <= "\x9f"  # a byte without a character often stays as a control
-            lacked += not kept
-            out.append(c.encode("latin-1") if kept else lost)
-    return b"".join(out), lacked
+            self.count += not kept and c != GONE
+            out += c.encode("latin-1") if kept else self.lost
+        return out, error.end
+
+
+_lacking = _Lacking()
+codecs.register_error("siltstone.lacking", _lacking)
+
+
+def _bytes(text: str, charset: str, lost: bytes) -> tuple[bytes, int]:
+    """The bytes that ``charset`` made the text of, and how many characters it lacks."""
+    _lacking.lost, _lacking.count = lost, 0
+    return text.encode(charset, "siltstone.lacking"), _lacking.count
 
 
 def _lost(false: str, true: str) -> bytes:
