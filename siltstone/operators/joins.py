@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siltstone.shared import unused
+from siltstone.shared import materialize, unused
 
 #: Most rows of a side that is copied to every executor.
 SMALL = 100_000
 
+#: Least rows of a key that is salted, and most keys that are; any other key has less than a thousandth of the rows.
+HOT, HOTTEST = 100_000, 1_000
+
 
 def is_small(df: DataFrame, most: int = SMALL) -> bool:
     """Whether df has at most ``most`` rows; reads no further than that."""
@@ -26,13 +31,25 @@ def mapped(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "i
     return salted(facts, lookup, on, how)
 
 
-def salted(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 16) -> DataFrame:
-    """Equi-join ('inner' or 'left') whose keys may be hot in ``facts``: each key is spread over ``salts`` tasks, the lookup repeated as often."""
-    rest = [c for c in facts.columns if c not in on] or list(on)
-    salt = unused("salt", facts, lookup)
-    left = facts.withColumn(salt, F.pmod(F.xxhash64(*rest, *on), F.lit(salts)))
-    right = lookup.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return left.join(right, [*on, salt], how).drop(salt)
+def salted(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner", salts: int = 16, hot: int = HOT) -> DataFrame:
+    """Equi-join ('inner' or 'left') whose keys may be hot in ``facts``: a key of ``hot`` rows or more is spread over ``salts`` tasks, its rows of the lookup repeated as often.
+
+    Hot keys are counted first and stored, so that both sides salt the same ones; if there are none, this is a plain join.
+    """
+    on = list(on)
+    salt, n = (unused(x, facts, lookup) for x in ("salt", "n"))
+    most = facts.groupBy(*on).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) >= hot).orderBy(F.col(n).desc()).limit(HOTTEST)
+    found = materialize(most, "hot")
+    if is_small(found, 0):
+        return facts.join(lookup, on, how)
+    is_hot, found = F.col(n).isNotNull(), F.broadcast(found)
+    rest = [c for c in facts.columns if c not in on] or on
+    gap = reduce(or_, (F.col(c).isNull() for c in on))  # meets nothing, but may be as frequent
+    left = facts.join(found, on, "left").withColumn(salt, F.when(is_hot | gap, F.pmod(F.xxhash64(*rest, *on), F.lit(salts))).otherwise(F.lit(0).cast("bigint"))).drop(n)
+    each = F.when(is_hot, F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    right = lookup.join(found, on, "left").withColumn(salt, F.explode(each)).drop(n)
+    # Spark's estimate of the repeated side knows nothing of the repetition, so it must not decide on a broadcast
+    return left.join(right.hint("merge"), [*on, salt], how).drop(salt)
 
 
 def not_in(df: DataFrame, c: str, other: DataFrame, value: str) -> DataFrame:

@@ -7,13 +7,14 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.operators import joins
 from siltstone.operators import knowledge as K
 from siltstone.operators.dedup import IdentifierIndex, split_copies
 from siltstone.operators.incremental import CommitLog
 from siltstone.plans import relational, storage
 from siltstone.shared import scratch
 from siltstone.sources.footers import profile_columns
-from siltstone.sources.tables import number_rows
+from siltstone.sources.tables import number_rows, plan_text
 
 c = F.col
 
@@ -105,3 +106,16 @@ def test_truncated_extrema_are_scanned(spark, tmp_path):
     path.write_bytes(data[:at] + data[at:].replace(b"\x11\x11\x00", b"\x12\x12\x00").replace(b"mmmm", b"mmaa"))
     got = profile_columns(spark, str(path)).first()
     assert (got["low"], got["high"], got["from_footer"]) == ("mmmm", "zzzz", 0)
+
+
+def test_salted_repeats_only_the_lookup_of_hot_keys(spark):
+    """The whole lookup was repeated, and broadcast by its size before that, which ended the driver."""
+    facts = spark.range(3000).select(F.when(c("id") % 3 == 0, 7).when(c("id") % 50 != 1, c("id")).alias("k"), c("id").alias("v"))
+    lookup = spark.range(2000).select(c("id").alias("k"), (c("id") * 2).alias("w")).unionByName(spark.createDataFrame([(7, -1), (None, -2)], "k bigint, w bigint"))
+    assert "Generate" not in plan_text(joins.salted(facts, lookup, ["k"]))
+    for how in ("inner", "left"):
+        want = sorted(facts.join(lookup, "k", how).collect(), key=str)
+        for hot in (1, 900, 5000):
+            got = joins.salted(facts, lookup, ["k"], how, hot=hot)
+            assert got.columns == ["k", "v", "w"] and sorted(got.collect(), key=str) == want
+        assert "SortMergeJoin" in plan_text(joins.salted(facts, lookup, ["k"], how, hot=900))
