@@ -14,16 +14,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether tasks run in the driver's own process: a plain local master."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def own_folder() -> str:
+    """A new folder of the driver's machine, deleted when it ends."""
+    made = tempfile.mkdtemp(prefix="siltstone-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only a plain local master may fall back to a new one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
+    if not one_process(spark):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="siltstone-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    made = own_folder()
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return spark.sparkContext.getCheckpointDir()
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.operators.joins import union_tables
-from siltstone.shared import materialize
+from siltstone.shared import materialize, one_process, scratch
 
 
 def blocks(df: DataFrame, size: int = 65536) -> Iterator[list[Row]]:
@@ -36,11 +38,79 @@ def jdbc_options(url: str, table: str, user: str = "", password: str = "", split
 
 
 def remote_table(spark: SparkSession, **given) -> DataFrame:
-    return spark.read.format("jdbc").options(**jdbc_options(**given)).load()
+    """A remote table; one that only the driver's process reaches is fetched through it."""
+    remote = spark.read.format("jdbc").options(**jdbc_options(**given)).load()
+    return remote if in_reach(spark, given["url"]) else fetched(remote, **given)
 
 
 def append_remote(df: DataFrame, **given) -> None:
-    df.write.format("jdbc").options(**jdbc_options(**given)).mode("append").save()
+    """Rows appended by all executors, or by the driver where only its process reaches the database."""
+    if in_reach(df.sparkSession, given["url"]):
+        df.write.format("jdbc").options(**jdbc_options(**given)).mode("append").save()
+    else:
+        append_blocks(df, **given)
+
+
+def in_reach(spark: SparkSession, url: str) -> bool:
+    """Whether executors reach a database: an embedded one lives in the process that opens it."""
+    return one_process(spark) or not url.startswith("jdbc:derby:") or url.startswith("jdbc:derby://")
+
+
+def fetched(remote: DataFrame, size: int = 10_000, **given) -> DataFrame:
+    """A remote table read by the driver, ``size`` rows at a time, into a working table."""
+    spark, schema = remote.sparkSession, remote._jdf.schema()
+    jvm, path = spark.sparkContext._jvm, scratch(remote.sparkSession, "fetched")
+    with _connected(spark, given) as (connection, dialect, options):
+        found = connection.createStatement().executeQuery(f"select * from {options.tableOrQuery()}")
+        rows = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils.resultSetToRows(found, schema, dialect).grouped(size)
+        spark.createDataFrame([], remote.schema).write.parquet(path)
+        while rows.hasNext():
+            block = spark._jsparkSession.createDataFrame(jvm.scala.jdk.javaapi.CollectionConverters.asJava(rows.next()), schema)
+            DataFrame(block, spark).write.mode("append").parquet(path)
+    return spark.read.schema(remote.schema).parquet(path)
+
+
+def append_blocks(df: DataFrame, size: int = 10_000, **given) -> None:
+    """Rows appended to a remote table by the driver, ``size`` rows at a time and in one transaction; the table is made if there is none."""
+    spark = df.sparkSession
+    jvm, schema = spark.sparkContext._jvm, df._jdf.schema()
+    plain = dict.fromkeys((T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType, T.BooleanType), lambda v: v)
+    texts = {T.DecimalType: lambda v: jvm.java.math.BigDecimal(str(v)), T.DateType: lambda v: jvm.java.sql.Date.valueOf(str(v)), T.TimestampNTZType: lambda v: jvm.java.sql.Timestamp.valueOf(str(v))}
+    given_as = [(plain | texts).get(type(f.dataType)) for f in df.schema]
+    if None in given_as:
+        raise ValueError(f"{df.columns[given_as.index(None)]}: its type can't be written to an embedded database")
+    utils = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcUtils
+    with _connected(spark, given) as (connection, dialect, options):
+        connection.setAutoCommit(False)
+        try:
+            known = utils.getSchemaOption(connection, options)
+            if known.isEmpty():
+                utils.createTable(connection, options.table(), schema, False, options)
+            statement = connection.prepareStatement(utils.getInsertStatement(options.table(), schema, known, False, dialect))
+            for block in blocks(df, size):
+                for row in block:
+                    for i, (v, to) in enumerate(zip(row, given_as), 1):
+                        statement.setObject(i, None if v is None else to(v))
+                    statement.addBatch()
+                if block:
+                    statement.executeBatch()
+            connection.commit()
+        except BaseException:
+            connection.rollback()
+            raise
+
+
+@contextmanager
+def _connected(spark: SparkSession, given: dict) -> Iterator[tuple]:
+    """The driver's own connection to a remote table, with Spark's dialect and options for it."""
+    jvm = spark.sparkContext._jvm
+    options = jvm.org.apache.spark.sql.execution.datasources.jdbc.JdbcOptionsInWrite(jvm.PythonUtils.toScalaMap(jdbc_options(**given)))
+    dialect = jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(given["url"])
+    connection = dialect.createConnectionFactory(options).apply(-1)
+    try:
+        yield connection, dialect, options
+    finally:
+        connection.close()
 
 
 def discard(df: DataFrame) -> None:

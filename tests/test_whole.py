@@ -1,9 +1,15 @@
 """Queries over whole tables, and what only shows on them."""
 
 import datetime
+import os
+import subprocess
+import sys
+from decimal import Decimal as D
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,11 +18,14 @@ from siltstone.operators import knowledge as K
 from siltstone.operators.dedup import IdentifierIndex, split_copies
 from siltstone.operators.incremental import CommitLog
 from siltstone.plans import relational, storage
-from siltstone.shared import scratch
+from siltstone.shared import own_folder, scratch
+from siltstone.sources import tables
 from siltstone.sources.footers import profile_columns
 from siltstone.sources.tables import number_rows, plan_text
 
 c = F.col
+ROOT = Path(__file__).resolve().parents[1]
+DAY, AT = datetime.date(2001, 2, 3), datetime.datetime(2001, 2, 3, 4, 5, 6, 789000)
 
 
 @pytest.fixture
@@ -119,3 +128,48 @@ def test_salted_repeats_only_the_lookup_of_hot_keys(spark):
             got = joins.salted(facts, lookup, ["k"], how, hot=hot)
             assert got.columns == ["k", "v", "w"] and sorted(got.collect(), key=str) == want
         assert "SortMergeJoin" in plan_text(joins.salted(facts, lookup, ["k"], how, hot=900))
+
+
+def suppliers(folder):
+    pq.write_table(pa.table({"s_suppkey": range(300), "s_name": [f"s{i}" for i in range(300)], "s_acctbal": [i / 4 for i in range(300)]}), folder / "supplier.parquet", row_group_size=100)
+
+
+def test_embedded_database_is_reached_by_the_driver(spark, tmp_path, monkeypatch):
+    """Executors that are other processes found an empty database of their own."""
+    monkeypatch.setattr(tables, "in_reach", lambda *a: False)
+    x = spark.createDataFrame([(1, "a''b", 1.5, D("1.25"), DAY, AT, True), (2, None, None, None, None, None, None), (2, "", -0.0, D("-7.00"), DAY, AT, False)], "id bigint, s string, d double, m decimal(9,2), day date, at timestamp_ntz, b boolean")
+    place = {"url": f"jdbc:derby:{own_folder()}/db;create=true", "table": "t"}
+    tables.append_blocks(x, size=2, **place)
+    tables.append_blocks(x.limit(0), **place)
+    tables.append_blocks(x.where("id = 1"), **place)
+    remote = tables.remote_table(spark, **place, split="id", bounds=(0, 1), parts=4)
+    assert remote.inputFiles()  # rows of the working table, which any executor reads
+    got = spark.read.format("jdbc").options(**tables.jdbc_options(**place)).load()
+    for y in (remote, tables.fetched(got, size=3, **place)):
+        assert sorted(y.select(*(c(n).alias(n.lower()) for n in y.columns)).withColumn("at", c("at").cast("timestamp_ntz")).collect(), key=str) == sorted([*x.collect(), *x.where("id = 1").collect()], key=str)
+    with pytest.raises(ValueError):
+        tables.append_blocks(x.select(F.array("id").alias("nested")), **place)
+    suppliers(tmp_path)
+    assert sorted(map(tuple, storage.io_jdbc(spark, str(tmp_path)).collect())) == [(i, f"s{i}", i / 4) for i in range(11, 300)]
+
+
+def test_a_database_of_the_driver_from_other_processes(tmp_path):
+    """The whole query with executors in processes of their own."""
+    suppliers(tmp_path)
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # executors log to work in Spark's home
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    code = f"""
+from siltstone.plans.storage import io_jdbc
+from siltstone.session import build_session
+spark = build_session("local-cluster[2,1,1024]", spark__checkpoint__dir="file://{tmp_path}/shared", spark__executor__memory="512m", spark__driver__host="127.0.0.1", spark__sql__warehouse__dir="{tmp_path}/warehouse")
+print("rows", *sorted(r["id"] for r in io_jdbc(spark, "{tmp_path}").collect()))
+spark.stop()
+"""
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": str(ROOT), "PYSPARK_PYTHON": sys.executable, "TMPDIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    said = [x.split() for x in done.stdout.splitlines() if x.startswith("rows")]
+    assert said, done.stderr[-1500:]
+    assert said[0][1:] == [str(i) for i in range(11, 300)]
